@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
@@ -19,30 +21,71 @@ CACHED_WORDS = 400_000
 
 
 class WordTokens:
-    """Ids of whole texts. The vocabulary's rules never join what ASCII white space parts, so a text's ids
-    are those of its words in turn, and words that come again are looked up."""
+    """Ids of whole texts. The vocabulary's rules never join what white space parts, so a text's ids are those of its words
+    in turn, and words that come again are looked up. A new word of plain letters, with signs behind it or not, is one or two
+    units of those rules and goes to the merges directly; any other passes through the whole tokenizer."""
+
+    _of: dict[str, WordTokens] = {}
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.ids: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, vocabulary: str) -> WordTokens:
+        """One for a worker process, so that its words serve all its tasks."""
+        if vocabulary not in cls._of:
+            cls._of[vocabulary] = cls(vocabulary)
+        return cls._of[vocabulary]
+
+    def _unit(self, unit: str) -> bytes:
+        ids = self.units.get(unit)
+        if ids is None:
+            ids = self.units[unit] = array("I", [t.id for t in self.merges.tokenize("".join([_BYTE_SIGNS[b] for b in unit.encode()]))]).tobytes()
+        return ids
+
+    def _new(self, word: str) -> bytes | None:
+        m = _PLAIN.fullmatch(word)
+        if not m:
+            return None
+        return (self._unit(m[1].lower()) if m[1] else b"") + (self._unit(m[2]) if m[2] else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
-        words = [t.translate(_TO_BLANK).split(" ") for t in texts]
-        ids = self.ids
-        if len(ids) > CACHED_WORDS:
-            ids.clear()
-        new = list({w for ws in words for w in ws} - ids.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(ids.__getitem__, ws)) for ws in words]
+        rows = [t.split() if not _ODD_SPACE.search(t) else re.split("[ \\t\\n\\r\\f\\v]+", t) for t in texts]
+        words = self.words
+        if len(words) > CACHED_WORDS:
+            words.clear()
+            self.units.clear()
+        new = set().union(*rows) - words.keys() if rows else set()
+        other = []
+        for w in new:
+            ids = self._new(w)
+            if ids is None:
+                other.append(w)
+            else:
+                words[w] = ids
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            words[w] = array("I", e.ids).tobytes()
+        return [b"".join(map(words.__getitem__, ws)) for ws in rows]
+
+
+def _byte_signs() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-_TO_BLANK = {c: " " for c in (9, 10, 11, 12, 13)}
+_BYTE_SIGNS = _byte_signs()
+#: Letters that lower-casing and normalisation take one by one, then ASCII signs that are one unit.
+_PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)")
+#: White space to split() but not to the vocabulary's rules.
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0) -> DataFrame:
@@ -52,7 +95,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0) -
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = WordTokens(vocabulary)
+        tokens = WordTokens.of(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
