@@ -79,11 +79,11 @@ def literal_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {TYPE_TABLE}, l AS (SELECT doc_id, unnest(regexp_extract_all(text, '{LITERAL}', 1)) AS key, unnest(regexp_extract_all(text, '{LITERAL}', 2)) AS value FROM documents),
-f AS (SELECT doc_id, value, CASE WHEN key = 'token' AND regexp_matches(value, '^[0-9a-f]{{40}}$') AND len(list_distinct(string_split(value, ''))) >= 4 THEN 'server_cred_token' END AS slug FROM l)
+f AS (SELECT DISTINCT doc_id, value, CASE WHEN key = 'token' AND regexp_matches(value, '^[0-9a-f]{{40}}$') AND len(list_distinct(string_split(value, ''))) >= 4 THEN 'server_cred_token' END AS slug FROM l)
 SELECT slug, type_id, risk_level, count(*) AS n, count(DISTINCT doc_id) AS n_docs, count(DISTINCT value) AS n_values FROM f JOIN types USING (slug) GROUP BY ALL"""
 )
 def token_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: literals of texts through filter, classification and typing, counted by type."""
+    """The flagship: literals of texts through filter, classification and typing, counted by type. A literal that a text repeats nearby counts once."""
     found = literals(table(spark, sf_dir, "documents")).filter("key = 'token'")
     constants = found.select(F.lit("documents").alias("pkg"), F.col("doc_id").cast("string").alias("file"), F.col("at").alias("sid"), "value", F.lit("text").alias("src"), F.concat("key", F.lit(' = "'), "value", F.lit('"')).alias("stmt"))
     rows = findings_of(constants, spark)
