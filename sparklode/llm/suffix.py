@@ -23,35 +23,54 @@ from sparklode.llm.common import Scratch, chunks, keyed_texts
 from sparklode.llm.superkmer import SHIFT, Alphabet, Cutter, covered, list_offsets, marks_by_doc, repeated_segments, utf8
 
 #: Bytes of a k-mer by which windows meet.
-MINIMIZER_BYTES = 32
+MINIMIZER_BYTES = 48
 
 #: Entries of one minimizer that are sorted together; more are dealt over tasks and meet by digest afterwards.
 TOGETHER = 512
 
-#: Dictionary bytes of one suffix array.
-ARRAY_BYTES = 100_000
+#: Dictionary bytes of one suffix array, which holds whole groups; small arrays stay in the processor's caches.
+ARRAY_BYTES = 1500
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """Start positions of the suffixes in ascending order; text: positive numbers. The end counts as smallest."""
-    t = [*text, 0]
+    """Start positions of the suffixes in ascending order; text: positive numbers. The end counts as smallest.
+
+    Most groups soon have one suffix, whose pointer moves one suffix of a lower group: that case goes first.
+    """
+    t = np.array([*text, 0], np.int64)
     n = len(t)
-    order = sorted(range(n), key=t.__getitem__)
-    at = [0] * n  # place of a suffix in order
-    group = [0] * n  # first place of its group
-    size = [0] * n  # by first place
-    g = 0
-    for k, i in enumerate(order):
-        if k and t[i] != t[order[k - 1]]:
-            g = k
-        at[i], group[i] = k, g
-        size[g] += 1
+    by_sign = np.argsort(t, kind="stable")
+    new = np.r_[True, t[by_sign][1:] != t[by_sign][:-1]]
+    begin = np.flatnonzero(new)
+    firsts = np.repeat(begin, np.diff(np.r_[begin, n]))
+    place, head, sizes = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+    place[by_sign], head[by_sign], sizes[begin] = np.arange(n), firsts, np.diff(np.r_[begin, n])
+    order, at, group, size = by_sign.tolist(), place.tolist(), head.tolist(), sizes.tolist()  # group: first place of a suffix's group
     previous = [-1] * n
     end = n
     while end > 0:
-        g = group[order[end - 1]]
+        i = order[end - 1]
+        g = group[i]
+        if g == end - 1:
+            j = i - 1
+            while j >= 0 and group[j] >= g:
+                j = previous[j]
+            previous[i] = j
+            end = g
+            if j >= 0:
+                s = group[j]
+                m = size[s]
+                if m > 1:
+                    size[s] = m - 1
+                    last = s + m - 1
+                    a, other = at[j], order[last]
+                    order[a], order[last] = other, j
+                    at[other], at[j] = a, last
+                    group[j] = last
+                    size[last] = 1
+            continue
         hits: dict[int, int] = {}
-        for i in sorted(order[g:end]) if end - g > 1 else order[g:end]:
+        for i in sorted(order[g:end]):
             j = i - 1
             while j >= 0 and group[j] >= g:
                 j = previous[j]
@@ -59,64 +78,57 @@ def suffix_array(text: list[int]) -> list[int]:
             if j >= 0:
                 hits[j] = hits.get(j, 0) + 1
         end = g
-        if not hits:
-            continue
-        most = max(hits.values())
         by_count: dict[int, list[int]] = {}
-        if most == 1:
-            by_count[1] = list(hits)
-        else:
-            for j, c in hits.items():
-                by_count.setdefault(c, []).append(j)
+        for j, c in hits.items():
+            if c in by_count:
+                by_count[c].append(j)
+            else:
+                by_count[c] = [j]
         for c in sorted(by_count, reverse=True):
             moved: dict[int, int] = {}
             for j in by_count[c]:
                 s = group[j]
-                if size[s] == 1:
-                    continue
-                m = moved.get(s, 0)
-                last = s + size[s] - 1 - m
-                a, other = at[j], order[last]
-                order[a], order[last] = other, j
-                at[other], at[j] = a, last
-                moved[s] = m + 1
+                if size[s] > 1:
+                    m = moved.get(s, 0)
+                    last = s + size[s] - 1 - m
+                    a, other = at[j], order[last]
+                    order[a], order[last] = other, j
+                    at[other], at[j] = a, last
+                    moved[s] = m + 1
             for s, m in moved.items():
                 if m < size[s]:
                     size[s] -= m
-                    new = s + size[s]
-                    size[new] = m
-                    for k in range(new, new + m):
-                        group[order[k]] = new
+                    head_ = s + size[s]
+                    size[head_] = m
+                    for k in range(head_, head_ + m):
+                        group[order[k]] = head_
     out, free = [-1] * n, list(range(n))
-    placed = bytearray(n)
     out[0] = n - 1
-    placed[n - 1] = 1
-    for k in range(n):
-        j = out[k] - 1
-        while j >= 0 and not placed[j]:
+    previous[n - 1] = -2
+    for i in out:  # grows as it is read
+        j = i - 1
+        while j >= 0:
+            p = previous[j]
+            if p == -2:  # placed
+                break
             g = group[j]
             out[free[g]] = j
             free[g] += 1
-            placed[j] = 1
-            j = previous[j]
+            previous[j] = -2
+            j = p
     return out[1:]
 
 
 def equal_windows(entries: list[bytes], width: int) -> Iterator[list[tuple[int, int]]]:
     """Classes of two or more equal windows over the entries, as (entry, start), from their suffix array."""
-    text: list[int] = []
-    starts = []
-    for e in entries:
-        starts.append(len(text))
-        text.extend(b + 2 for b in e)
-        text.append(1)  # parts entries; windows never reach over it
     joined = b"\x00".join(entries) + b"\x00"
-    room = np.zeros(len(text), bool)
-    owner = np.zeros(len(text), np.int64)
-    for k, (s, e) in enumerate(zip(starts, entries, strict=True)):
-        owner[s : s + len(e) + 1] = k
-        if len(e) >= width:
-            room[s : s + len(e) - width + 1] = True
+    sizes = np.array([len(e) for e in entries], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    begins = ends - sizes
+    signs = np.frombuffer(joined, np.uint8).astype(np.int64) + 2
+    signs[ends] = 1  # parts entries; windows never reach over it
+    room = np.arange(len(signs)) + width <= np.repeat(ends, sizes + 1)
+    owner, starts, text = np.repeat(np.arange(len(entries)), sizes + 1), begins.tolist(), signs.tolist()
     order = np.array(suffix_array(text), np.int64)
     order = order[room[order]].tolist()
     last, members = None, []
@@ -171,34 +183,40 @@ def _sorted_entries(entries: DataFrame, width: int) -> DataFrame:
     """doc_id, mark of windows that are not the first of their class; and, for dealt minimizers, one, two
     (digests) with doc_id and mark of each window that is first among those it was sorted with."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(group: list[tuple]) -> pa.RecordBatch:
-            gone: list[tuple[int, int]] = []
-            for places in equal_windows([r[4] for r in group], width):
-                where = sorted((group[e][2], group[e][3] + a) for e, a in places)
-                gone += where[1:]
-            rows = [(None, None, d, m) for d, m in _runs(gone)]
+    def windows_of(group: list[tuple]) -> list[tuple]:
+        gone: list[tuple[int, int]] = []
+        for places in equal_windows([r[4] for r in group], width):
+            where = sorted([(group[e][2], group[e][3] + a) for e, a in places])
+            gone += where[1:]
+        rows: list[tuple] = [(None, None, d, m) for d, m in _runs(gone)]
+        if any(r[1] > 1 for r in group):
             lost = set(gone)
             for _, parts, doc, at, entry in group:
-                if parts > 1:
-                    for a in range(len(entry) - width + 1):
-                        if (doc, at + a) not in lost:
-                            h = hashlib.blake2b(entry[a : a + width], digest_size=16).digest()
-                            rows.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), doc, ((at + a) << SHIFT) | 1))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["one", "two", "doc_id", "mark"])
+                for a in range(len(entry) - width + 1) if parts > 1 else ():
+                    if (doc, at + a) not in lost:
+                        h = hashlib.blake2b(entry[a : a + width], digest_size=16).digest()
+                        rows.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), doc, ((at + a) << SHIFT) | 1))
+        return rows
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["one", "two", "doc_id", "mark"])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
+        rows: list[tuple] = []
         total = 0
         for batch in batches:
             for r in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 if total > ARRAY_BYTES and group[-1][0] != r[0]:
-                    yield flush(group)
+                    rows += windows_of(group)
                     group, total = [], 0
+                    if len(rows) > 50_000:
+                        yield batch_of(rows)
+                        rows = []
                 group.append(r)
                 total += len(r[4])
-        if group:
-            yield flush(group)
+        yield batch_of(rows + (windows_of(group) if group else []))
 
     return entries.mapInArrow(run, "one long, two long, doc_id long, mark long")
 
@@ -209,7 +227,7 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, width: int = 100) -> DataF
     segments = repeated_segments(docs, alphabet, True, scratch)
     entries = scratch.table(_open_entries(docs, marks_by_doc(segments.filter("open"), "marks"), alphabet), "entries")
     place = F.struct("doc_id", "at")
-    folded = entries.groupBy("mini", "seg").agg(F.min(place).alias("first"))
+    folded = scratch.table(entries.groupBy("mini", "seg").agg(F.min(place).alias("first")), "folded")
     width_of = F.length("entry") - width + 1
     whole = entries.join(folded, ["mini", "seg"])
     again = whole.filter(place != F.col("first")).select("doc_id", (F.shiftleft("at", SHIFT) + width_of).alias("mark"))
