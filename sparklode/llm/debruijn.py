@@ -54,6 +54,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 13, copies:
     segments = repeated_segments(docs, alphabet, False, scratch)
     edges = scratch.table(_open_edges(docs, marks_by_doc(segments.filter("open"), "marks"), alphabet), "edges")
     first = edges.groupBy("one", "two").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1").select("one", "two", "d0")
+    first = scratch.table(first, "repeated-edges")  # again so that the join can split a hot edge
     hits = edges.join(first, ["one", "two"]).filter("doc_id > d0").select("doc_id", (F.shiftleft("at", SHIFT) + 1).alias("mark"))
     return segments.filter("not open").select("doc_id", "mark").unionByName(hits)
 

@@ -132,6 +132,8 @@ def repeated_segments(docs: DataFrame, alphabet: Alphabet, within: bool, scratch
     rows = segment_rows(docs, alphabet)
     groups = rows.groupBy("mini").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.count("*").alias("copies"))
     groups = groups.filter("copies > 1" if within else "d0 < d1").select("mini", "d0", F.col("s0").eqNullSafe(F.col("s1")).alias("same"), "copies")
+    # a table of its own, so that the join below deals both sides itself and can split a hot minimizer
+    groups = scratch.table(groups, "minimizers")
     met = rows.select("mini", "doc_id", "mark", "again").join(groups, "mini")
     opened = ~F.col("same") | (F.col("doc_id") == F.col("d0"))
     wanted = ~F.col("same") | (F.col("doc_id") > F.col("d0")) | (F.lit(within) & F.col("again"))
