@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 
 from sparklode.llm.common import BYTE_VALUES, SPACE_TABLE, Roller, Scratch, chunks, keyed_texts, mix64, word_bounds
 
-#: Minima of a signature, in bands of ROWS; low bits of each that are kept, PER_LONG to a 64-bit number.
-MINIMA, ROWS, BITS = 128, 4, 4
-BANDS, PER_LONG = MINIMA // ROWS, 64 // BITS
-LONGS = MINIMA // PER_LONG
+#: Minima of a signature; low bits of each that are kept, PER_LONG to a 64-bit number. The first BANDS * ROWS make the bands,
+#: and a first estimate that is cheap.
+MINIMA, BITS, BANDS, ROWS = 512, 4, 32, 4
+PER_LONG = 64 // BITS
+LONGS, COARSE = MINIMA // PER_LONG, BANDS * ROWS
 
 #: A candidate goes on to the full sets if its estimate is at most this many standard deviations below the threshold.
 SIGMAS = 5.0
 
 #: Times that buckets of several components get other hubs before the rest is compared member by member.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 1
 
 _FACTORS = np.random.default_rng(404).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -77,13 +78,13 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 one, two = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
                 if len(some):
                     for i, f in enumerate(_FACTORS):
-                        minima[some, i] = np.minimum.reduceat((h * f >> np.uint64(32)).astype(np.uint32), begin)
+                        minima[some, i] = np.minimum.reduceat(h * f, begin) >> np.uint64(32)
                     one[some] = np.add.reduceat(mix64(h), begin)
                     two[some] = np.bitwise_xor.reduceat(mix64(h * _FACTORS[0]), begin)
                 low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(hi - lo, LONGS, PER_LONG)
                 sig = np.bitwise_or.reduce(low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)), axis=2)
                 bands = np.full((hi - lo, BANDS), 0, np.uint64)
-                rows = minima.reshape(hi - lo, BANDS, ROWS).astype(np.uint64)
+                rows = minima[:, :COARSE].reshape(hi - lo, BANDS, ROWS).astype(np.uint64)
                 bands += np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 for r in range(ROWS):
                     bands = mix64(bands ^ rows[:, :, r])
@@ -103,22 +104,29 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, sig array<long>, bands array<long>")
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from the share of equal low bits, less what chance makes equal."""
-    differ = F.lit(0)
-    for i in range(LONGS):
-        x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(x)
-    chance = 2.0**-BITS
-    return ((1 - differ / F.lit(float(MINIMA))) - chance) / (1 - chance)
+def _differing(x: Column, y: Column) -> Column:
+    """How many of the minima of two packed numbers differ in their low bits."""
+    z = x.bitwiseXOR(y)
+    z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+    z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
+    return F.bit_count(z)
+
+
+def estimates_allow(a: Column, b: Column, threshold: float) -> Column:
+    """Whether the similarity, estimated from the share of equal low bits less what chance makes equal, may reach the
+    threshold: first by the bands' minima, then by all."""
+    coarse, chance = F.lit(0), 2.0**-BITS
+    for i in range(COARSE // PER_LONG):
+        coarse = coarse + _differing(a[i], b[i])
+    every = F.aggregate(F.zip_with(a, b, _differing), F.lit(0), lambda acc, n: acc + n)
+    value = lambda differ, n: ((1 - differ / F.lit(float(n))) - chance) / (1 - chance)
+    return (value(coarse, COARSE) >= least_estimate(threshold, COARSE)) & (value(every, MINIMA) >= least_estimate(threshold, MINIMA))
 
 
-def least_estimate(threshold: float) -> float:
+def least_estimate(threshold: float, minima: int) -> float:
     chance = 2.0**-BITS
     equal = chance + (1 - chance) * threshold
-    return threshold - SIGMAS * (equal * (1 - equal) / MINIMA) ** 0.5 / (1 - chance)
+    return threshold - SIGMAS * (equal * (1 - equal) / minima) ** 0.5 / (1 - chance)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -165,7 +173,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = scratch.table(small.filter("u != v").distinct(), f"{name}-{step}")
@@ -194,51 +202,55 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, num: int = 80, den:
     folds = rows.filter("set1 is not null").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = scratch.table(rows.select("doc_id", "n_shingles", "set1", "set2").join(folds, ["set1", "set2", "n_shingles"]).select("doc_id", "rep"), "members")
     reps = rows.join(member.filter("doc_id = rep").select("doc_id"), "doc_id")
-    sigs = scratch.table(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig"), "sigs")
-    every = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    shared = every.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).filter("hub < other")
-    buckets = scratch.table(every.join(shared.select("key", "hub"), "key"), "buckets")
+    sigs = scratch.table(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), "sigs")
+    every = sigs.select(F.posexplode("bands").alias("band", "key"), "id")
+    shared = scratch.table(every.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("n")).filter("hub < other").select("key", "hub", "n"), "shared")
+    buckets = scratch.table(every.join(shared, "key"), "buckets")
 
-    floor = least_estimate(num / den)
-    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (estimate(F.col("sa"), F.col("sb")) >= floor)
+    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & estimates_allow(F.col("sa"), F.col("sb"), num / den)
     one = sigs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     two = sigs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-    texts = docs
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Confirmed links of the pairs (a, b)."""
         near = scratch.table(pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b"), f"{name}-near")
         ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        return scratch.table(confirm(near, texts.join(ids, "doc_id", "left_semi"), shingle, num, den), f"{name}-links")
-
-    tried = scratch.table(buckets.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs0")
+        return scratch.table(confirm(near, docs.join(ids, "doc_id", "left_semi"), shingle, num, den), f"{name}-links")
+
+    # the text that others were copied from shares most buckets, so each bucket has its most connected member as a second hub
+    degree = buckets.groupBy("id").agg(F.sum("n").alias("degree"))
+    centre = buckets.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("centre"))
+    by_centre = buckets.join(centre, "key").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    first = buckets.select(F.col("id").alias("a"), F.col("hub").alias("b")).unionByName(by_centre).filter("a != b")
+    tried = scratch.table(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs0")
     links = linked(tried, "hub0")
     comps = components(links, scratch, "comp0")
-    mixed = buckets.select("key", "id")
+    mixed = buckets.select("band", "key", "id")
     for turn in range(1, HUB_ROUNDS + 2):
-        labelled = mixed.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        labelled = mixed.join(comps, "id", "left").select("band", "key", "id", F.coalesce("comp", "id").alias("comp"))
         split = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
         mixed = scratch.table(labelled.join(split, "key"), f"mixed{turn}")
-        if mixed.isEmpty():
-            break
         if turn <= HUB_ROUNDS:
             hubs = mixed.groupBy("key").agg(F.max_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("h")).select("key", F.col("h.id").alias("b"), F.col("h.comp").alias("cb"))
-            pairs = mixed.join(hubs, "key").filter("comp != cb").select(F.col("id").alias("a"), "b").distinct()
+            pairs = mixed.join(hubs, "key").filter("comp != cb").select(F.col("id").alias("a"), "b")
         else:
             sizes = mixed.groupBy("key", "comp").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-            with_sig = mixed.join(one, mixed["id"] == one["a"]).select("key", "a", "comp", "na", "sa")
-            outside = with_sig.join(main, "key").filter("comp != main").select("key", "a", "comp", "na", "sa")
-            rest = with_sig.select("key", F.col("a").alias("b"), F.col("comp").alias("cb"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
-            pairs = outside.join(rest, (outside["key"] == rest["key"]) & (F.col("comp") != F.col("cb")) & fits).select("a", "b").distinct()
-        pairs = scratch.table(pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), f"pairs{turn}")
+            full = mixed.join(sigs, "id")
+            outside = full.join(main, "key").filter("comp != main").select("key", "band", F.col("id").alias("a"), "comp", F.col("n_shingles").alias("na"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
+            rest = full.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"))
+            # a pair is made in the first band that it shares, and only if its sizes and estimate allow a link
+            earlier = F.exists(F.zip_with(F.slice("ba", F.lit(1), F.col("band")), F.slice("bb", F.lit(1), F.col("band")), lambda x, y: x == y), lambda same: same)
+            pairs = outside.join(rest, (F.col("key") == F.col("k2")) & (F.col("comp") != F.col("cb")) & ~earlier & fits).select("a", "b")
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.table(pairs, f"pairs{turn}")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
             more = linked(pairs, f"hub{turn}")
             if not more.isEmpty():
                 links = links.unionByName(more)
                 comps = components(links, scratch, f"comp{turn}")
-        mixed = mixed.select("key", "id")
+        mixed = mixed.select("band", "key", "id")
     of_rep = member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(of_rep, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
