@@ -51,15 +51,6 @@ def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return two.groupBy(key).agg(F.min(text).alias(text))
 
 
-def distinct_docs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Whole-text copies folded: (doc_id, text, digest) of the smallest doc_id of each text, and
-    (doc_id, first_id) of every document. Only digests are shuffled; a hot group of copies meets
-    as partial minima."""
-    with_digest = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("digest"))
-    firsts = with_digest.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    return with_digest, firsts
-
-
 def chunks(items: list[bytes]) -> list[tuple[int, int]]:
     """Index ranges of consecutive items of about CHUNK_BYTES together."""
     out, start, total = [], 0, 0
