@@ -7,7 +7,6 @@ compared with all rows of its several likeliest parts, on the original vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from sparklode.llm.common import Scratch
+from sparklode.llm.common import Scratch, smallest_hashes
 
 #: Rows on which the graph is made and the router learned.
 SAMPLE_ROWS = 4096
@@ -229,8 +228,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     parts = min(MOST_PARTS, 1 << max(0, (n // PART_ROWS).bit_length() - 1))
     router = None
     if parts > 1:
-        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
-        x = np.array([r[0] for r in sample])
+        sample = rows.join(F.broadcast(smallest_hashes(rows.select("vec_id"), "vec_id", sample_rows)), "vec_id").collect()
+        x = np.array([r["v"] for r in sorted(sample, key=lambda r: r["vec_id"])])
         router = learn(x / np.linalg.norm(x, axis=1, keepdims=True), parts)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.common import Scratch, keyed_texts
+from sparklode.llm.common import Scratch, keyed_texts, smallest_hashes
 
 #: Labelled rows that the classifier is fitted on, those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -118,7 +118,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     x = scratch.table(x.join(sites, "doc_id"), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).filter("y = y1").select("doc_id", "y")
-    sample = x.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("x", "y").collect()
+    sample = x.join(smallest_hashes(marks.join(x.select("doc_id"), "doc_id"), "doc_id", train_rows), "doc_id").select("x", "y").collect()
     y = np.array([r["y"] for r in sample], float)
     w = fit(np.array([r["x"] for r in sample], float), y) if 0 < y.sum() < len(y) else None
     if w is None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.common import CHUNK_BYTES, Scratch, keyed_texts
+from sparklode.llm.common import CHUNK_BYTES, Scratch, keyed_texts, smallest_hashes
 from sparklode.llm.quality import fit
 
 #: Labelled rows to learn from, those with the smallest hashes of their ids; a third of them only calibrates the score.
@@ -269,7 +269,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, train_rows: int = TR
     remainder = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(3))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(remainder("doc_id") != 1)
     marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).filter("y = y1").select("doc_id", "y")
-    chosen = marks.join(docs.select("doc_id"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    chosen = smallest_hashes(marks.join(docs.select("doc_id"), "doc_id"), "doc_id", train_rows)
     sample = scratch.table(docs.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))), "sample")
     weights = _learn(sample.filter("part != 0"), model)
     kinds = _kinds(weights)
