@@ -20,7 +20,7 @@ from sparklode.llm.common import BYTE_VALUES, SPACE_TABLE, Roller, Scratch, chun
 
 #: Minima of a signature; low bits of each that are kept, PER_LONG to a 64-bit number. The first BANDS * ROWS make the bands,
 #: and a first estimate that is cheap.
-MINIMA, BITS, BANDS, ROWS = 512, 4, 32, 4
+MINIMA, BITS, BANDS, ROWS = 1024, 4, 32, 4
 PER_LONG = 64 // BITS
 LONGS, COARSE = MINIMA // PER_LONG, BANDS * ROWS
 
@@ -211,9 +211,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, num: int = 80, den:
     one = sigs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     two = sigs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Confirmed links of the pairs (a, b)."""
-        near = scratch.table(pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b"), f"{name}-near")
+    def linked(pairs: DataFrame, name: str, estimated: bool = False) -> DataFrame:
+        """Confirmed links of the pairs (a, b). estimated: their estimates were looked at already."""
+        near = pairs if estimated else scratch.table(pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b"), f"{name}-near")
         ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
         return scratch.table(confirm(near, docs.join(ids, "doc_id", "left_semi"), shingle, num, den), f"{name}-links")
 
@@ -246,7 +246,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, num: int = 80, den:
         pairs = scratch.table(pairs, f"pairs{turn}")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
-            more = linked(pairs, f"hub{turn}")
+            more = linked(pairs, f"hub{turn}", turn > HUB_ROUNDS)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 comps = components(links, scratch, f"comp{turn}")
