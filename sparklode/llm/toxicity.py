@@ -1,6 +1,6 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Suspicious spans (digits and signs among letters, letters set apart, letters repeated) become character lattices;
+Suspicious spans (tokens with digits, signs, separators or repeated letters, and letters set apart) become character lattices;
 Viterbi decoding under a trigram model of the corpus' letters restores them, and words and word
 beginnings of the restored text are scored with weights learnt from labelled documents.
 """
@@ -38,16 +38,20 @@ LEET = {
 #: Log-probabilities of the channel: a sign for a letter, a separator between letters dropped or kept, repetition undone.
 READ, JOIN, KEEP, TWICE, ONCE = -1.0, -0.3, -1.5, -0.7, -2.0
 
+#: Characters of the longest span whose reading is kept for its next occurrence.
+LONGEST_KNOWN = 64
+
 #: Symbols of the letter model: 0 is any boundary, 1-26 a-z, 27 other letters.
 SYMBOLS = 28
 
 _SIGN = re.escape("".join(LEET))
-_SUSPECT = re.compile(rf"[^\W\d_][{_SIGN}]|(?<!\S)[{_SIGN}]+[^\W\d_]|([^\W\d_])\1\1|(?<![^\W_])[^\W_][\W_][^\W_][\W_][^\W_](?![^\W_])")
+#: A sign or separator: neither letter nor digit.
+_BETWEEN = r"(?:[^\w\s]|_)"
+#: What the lattice may read as other letters: signs, letters that repeat, and letters with something between. Accents are folded before.
+_SUSPECT = re.compile(rf"[{_SIGN}]|([^\W\d_])\1|[^\W\d_]{_BETWEEN}+[^\W\d_]")
 _TRAIL = re.compile(r"(?:[^\w\s][^\w\s]+|[.,;:?\"')\]])+$")
-_APART = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGN}])(?:[ .\-_*/~]{{1,2}}(?:[^\W_]|[{_SIGN}])(?![^\W_])){{2,}}")
-_LEETED = re.compile(rf"[^\W\d_][{_SIGN}]+[^\W_]|^[{_SIGN}]+[^\W\d_]{{2}}|[^\W\d_]{{2}}[{_SIGN}]$")
-_REPEAT = re.compile(r"([^\W\d_])\1\1")
-_SEPARATED = re.compile(r"[^\W\d_][.\-_*/~][^\W\d_]")
+#: Single letters and signs set apart, by any number of separators as in the lattice.
+_APART = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGN}])(?:(?:[^\w{_SIGN}]|_)+(?:[^\W_]|[{_SIGN}])(?![^\W_])){{2,}}")
 _WORD = re.compile(r"[^\W\d_]+")
 _UNSEEN = re.compile("[­​-‍⁠﻿]")
 
@@ -72,6 +76,9 @@ def symbols_of(text: str) -> np.ndarray:
     return np.where(points < 0x250, _FOLD[np.minimum(points, 0x24F)], SYMBOLS - 1)
 
 
+_BASE = {c: chr(96 + s) for c, s in enumerate(_FOLD.tolist()) if c > 127 and 0 < s < SYMBOLS - 1}
+
+
 def folded(text: str) -> str:
     return "".join(chr(96 + s) if 0 < s < SYMBOLS - 1 else c for c, s in zip(text, symbols_of(text).tolist(), strict=True))
 
@@ -178,12 +185,22 @@ class Restorer:
         self.model, self.known = model, {}
 
     def read(self, span: str) -> str:
+        """Spans of any length are decoded whole: the work grows with the length, the states do not."""
+        return self.model.restore(lattice_of(span))
+
+    def read_words(self, span: str, token: bool) -> tuple[str, ...]:
+        """The words that a span is restored to; a token that has one reading only gives none, one with punctuation after it is read without it too."""
         out = self.known.get(span)
         if out is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            # long spans in parts, which only bounds the work at once
-            out = self.known[span] = " ".join(self.model.restore(lattice_of(span[k : k + 200])) for k in range(0, len(span), 200))
+            found: set[str] = set()
+            for part in {span, _TRAIL.sub("", span)} if token else {span}:
+                if len(part) > 1 and (not token or _SUSPECT.search(part)):
+                    found.update(self.read(part).split())
+            out = tuple(found)
+            if len(span) <= LONGEST_KNOWN:
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                self.known[span] = out
         return out
 
     def words(self, text: str) -> set[str]:
@@ -192,14 +209,12 @@ class Restorer:
         if not low.isascii():
             low = _UNSEEN.sub("", low)
         words = set(_WORD.findall(low))
-        if _SUSPECT.search(low):
-            for token in set(low.split()):
-                if len(token) > 2 and not token.isalpha():
-                    token = _TRAIL.sub("", token)
-                if _LEETED.search(token) or _REPEAT.search(token) or _SEPARATED.search(token):
-                    words.update(self.read(token).split())
-            for m in _APART.finditer(low):
-                words.update(self.read(m[0]).split())
+        if not low.isascii():
+            low = low.translate(_BASE)
+        for token in set(low.split()):
+            words.update(self.read_words(token, True))
+        for m in _APART.finditer(low):
+            words.update(self.read_words(m[0], False))
         return words
 
 

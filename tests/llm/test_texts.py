@@ -295,3 +295,42 @@ def test_toxicity_without_labels(spark):
 @pytest.mark.parametrize("operator", [dedup_substrings, dedup_bytes, near_duplicates, lambda d: pack_documents(d, vocabulary_path())])
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).collect() == []
+
+
+@pytest.fixture(scope="module")
+def restorer():
+    words = "you are such an idiot and a moron dumb ass what a dumbass the good people of this letter are not scumbag said it is in that class"
+    s = symbols_of(f"  {words}  " * 50).astype(np.int64)
+    return Restorer(LetterModel(np.bincount((s[:-2] * 28 + s[1:-1]) * 28 + s[2:], minlength=28**3)))
+
+
+@pytest.mark.parametrize(
+    "text, word",
+    [
+        ("i d i o t", "idiot"),
+        ("i  d  i  o  t", "idiot"),
+        ("i. d. i. o. t", "idiot"),
+        ("i, d, i, o, t", "idiot"),
+        ("i - d - i - o - t", "idiot"),
+        ("mo.ron", "moron"),
+        ("mo-ron", "moron"),
+        ("id.iot", "idiot"),
+        ("id,iot", "idiot"),
+        ("dumba$$", "dumbass"),
+        ("a$$", "ass"),
+        ("a$$.", "ass"),
+        ("m0r0n!!", "moron"),
+        ("iiddiioott", "idiot"),
+        ("ïidiot", "idiot"),
+        (", ".join(c for c in "the good people " * 12 if c != " ") + ", i, d, i, o, t", "idiot"),
+    ],
+)
+def test_read_without_gates(restorer, text, word):
+    """Alone and after plain words: nothing else in the text makes it suspect."""
+    assert word in restorer.words(text)
+    assert word in restorer.words(f"people said: {text}")
+
+
+def test_long_token_is_read_whole(restorer):
+    for at in range(190, 201):
+        assert "idiot" in restorer.words("the-good-people-" * 12 + "-" * (at - 192) + "1d10t-the-good-people")
