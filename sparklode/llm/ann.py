@@ -1,8 +1,10 @@
 """Nearest neighbours over learned partitions.
 
-A neighbour graph of a bounded sample is cut into balanced parts by recursive bisection; a softmax classifier
-learns in which parts the neighbours of a vector lie. Every row is indexed under its likeliest part, and a query is
-compared with all rows of its several likeliest parts, on the original vectors.
+Nearness is the inner product of the original vectors. Rows get one more coordinate that makes all norms equal, so that
+their neighbour graph knows of length as well as direction. The graph of a bounded sample is cut into balanced parts by
+recursive bisection; one softmax classifier places rows in parts, another learns in which parts the rows of largest inner
+product with a query lie. A query is compared with all rows of its several likeliest parts; how many, is found
+on held-out queries that are compared with all rows.
 """
 
 from __future__ import annotations
@@ -24,18 +26,26 @@ SAMPLE_ROWS = 4096
 #: Rows of the table for each part; parts are a power of two, MOST_PARTS at most.
 PART_ROWS, MOST_PARTS = 2000, 256
 
-#: Edges of a row of the graph, and the share of sample neighbours that the probed parts must hold.
+#: Edges of a row of the graph, and the share of held-out queries' neighbours that the probed parts must hold.
 GRAPH_EDGES, SAMPLE_RECALL = 16, 0.97
 
+#: Queries on which the number of probed parts is found; none of them is in the sample.
+HELD_QUERIES = 256
+
 #: Rows, and queries, of one task.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 
 
 def _neighbours(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest others of each row by inner product."""
+    return _neighbours_of(x, x, k)
+
+
+def _neighbours_of(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """For each query, the k rows of x of largest inner product other than the row in its own place."""
     out = np.empty((len(x), k), np.int64)
     for lo in range(0, len(x), 512):
-        s = x[lo : lo + 512] @ x.T
+        s = q[lo : lo + 512] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
         out[lo : lo + len(s)] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
@@ -87,27 +97,19 @@ def _softmax(s: np.ndarray) -> np.ndarray:
     return s / s.sum(axis=1, keepdims=True)
 
 
-@dataclass
-class Router:
-    """weights: (dimensions + 1) x parts; probes: parts that a query is sent to."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
-    weights: np.ndarray
-    probes: int
 
-    def order(self, x: np.ndarray) -> np.ndarray:
-        """Parts of each row of unit vectors, likeliest first."""
-        return np.argsort(-(x @ self.weights[:-1] + self.weights[-1]), axis=1, kind="stable")
+def augmented(x: np.ndarray, longest: float) -> np.ndarray:
+    """Rows of norm 1: divided by the longest norm of the table, with a coordinate that fills them up."""
+    x = x / longest
+    return np.column_stack((x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))))
 
 
-def learn(x: np.ndarray, parts: int) -> Router:
-    """x: unit vectors of the sample."""
-    near = _neighbours(x, min(GRAPH_EDGES, len(x) - 1))
-    part = cut_graph(x, parts, near)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), part[near].ravel()), 1.0 / near.shape[1])
-    target[np.arange(len(x)), part] += 1.0
-    target /= target.sum(axis=1, keepdims=True)
-    w = np.zeros((x.shape[1] + 1, parts))
+def _fit_parts(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Softmax weights, (dimensions + 1) x parts."""
+    w = np.zeros((x.shape[1] + 1, target.shape[1]))
     m, v = np.zeros_like(w), np.zeros_like(w)
     rng = np.random.default_rng(6)
     ones = np.column_stack((x, np.ones(len(x))))
@@ -116,15 +118,55 @@ def learn(x: np.ndarray, parts: int) -> Router:
         g = ones[rows].T @ (_softmax(ones[rows] @ w) - target[rows]) / len(rows)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    router = Router(w, parts)
-    order = router.order(x)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(parts)[None, :], axis=1)
-    found = np.take_along_axis(rank, order[:, 0][near], axis=1)
-    for probes in range(1, parts + 1):
-        if (found < probes).mean() >= SAMPLE_RECALL:
-            router.probes = probes
-            break
+    return w
+
+
+@dataclass
+class Router:
+    """rows, queries: weights, (dimensions + 1) x parts; longest: the largest norm; centre, spread: of the augmented sample; probes: parts that a query is sent to."""
+
+    rows: np.ndarray
+    queries: np.ndarray
+    longest: float
+    centre: np.ndarray
+    spread: float
+    probes: int
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The part of each row of the table."""
+        return np.argmax((augmented(x, self.longest) - self.centre) / self.spread @ self.rows[:-1] + self.rows[-1], axis=1)
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """Parts of each query, likeliest first; a query's own length doesn't change what is nearest."""
+        return np.argsort(-(_unit(x) @ self.queries[:-1] + self.queries[-1]), axis=1, kind="stable")
+
+    def calibrate(self, x: np.ndarray, query: np.ndarray, parts: np.ndarray) -> None:
+        """Sets probes. x: held-out queries; query, parts: for each of their neighbours the query's row in x and the part that holds it."""
+        order = self.order(x)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
+        found = rank[query, parts]
+        self.probes = next(p for p in range(1, order.shape[1] + 1) if (found < p).mean() >= SAMPLE_RECALL)
+
+
+def learn(x: np.ndarray, parts: int, longest: float) -> Router:
+    """x: the sample's vectors as they are. All parts are probed until calibrate() says less."""
+    a = augmented(x, longest)
+    edges = min(GRAPH_EDGES, len(x) - 1)
+    near = _neighbours(a, edges)
+    part = cut_graph(a, parts, near)
+    centre = a.mean(axis=0)
+    spread = float(np.sqrt(((a - centre) ** 2).sum(axis=1).mean())) or 1.0
+
+    def shares(near: np.ndarray, part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), parts))
+        np.add.at(out, (np.repeat(np.arange(len(x)), near.shape[1]), part[near].ravel()), 1.0 / near.shape[1])
+        return out
+
+    target = shares(near, part)
+    target[np.arange(len(x)), part] += 1.0
+    router = Router(_fit_parts((a - centre) / spread, target / 2), np.zeros(0), longest, centre, spread, parts)
+    router.queries = _fit_parts(_unit(x), shares(_neighbours_of(_unit(x), x, edges), router.place(x)))
     return router
 
 
@@ -219,7 +261,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     picks the queries; every row but the query's own is a candidate. Which rows take part is said in sound(); an
     empty table gives no rows. Tables of up to two parts' rows are one part, which makes the search exact; a query that finds
     fewer than k in its parts is compared with all rows. The graph and the router come from sample_rows rows at
-    most, those with the smallest hashes of their ids; every row is indexed.
+    most, those with the smallest hashes of their ids; every row is indexed. HELD_QUERIES queries at most, which are left out of
+    that sample, are compared with all rows to find how many parts are probed.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "ann")
@@ -228,30 +271,47 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, key: str = "ve
     parts = min(MOST_PARTS, 1 << max(0, (n // PART_ROWS).bit_length() - 1))
     router = None
     if parts > 1:
-        sample = rows.join(F.broadcast(smallest_hashes(rows.select("vec_id"), "vec_id", sample_rows)), "vec_id").collect()
-        x = np.array([r["v"] for r in sorted(sample, key=lambda r: r["vec_id"])])
-        router = learn(x / np.linalg.norm(x, axis=1, keepdims=True), parts)
+        longest = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)))).first()[0]
+        held = scratch.table(smallest_hashes(rows.filter(is_query).select("vec_id"), "vec_id", HELD_QUERIES), "held")
+        fitted = smallest_hashes(rows.select("vec_id").join(F.broadcast(held), "vec_id", "left_anti"), "vec_id", sample_rows)
+        sample = rows.join(F.broadcast(fitted), "vec_id").collect()
+        router = learn(np.array([r["v"] for r in sorted(sample, key=lambda r: r["vec_id"])]), parts, longest)
+
+    def in_all(queries: DataFrame) -> DataFrame:
+        """The exact search of few queries."""
+        whole = rows.select(F.lit(0).alias("part"), "vec_id", "v")
+        sizes = whole.groupBy("part").agg(F.count("*").alias("n")).join(queries.groupBy("part").agg(F.count("*").alias("nq")), "part")
+        return _search(whole, queries, sizes, k)
+
+    if router is not None:
+        asked = scratch.table(rows.join(F.broadcast(held), "vec_id").select(F.lit(0).alias("part"), "vec_id", "v"), "held_rows")
+        near = scratch.table(in_all(asked).select("query_id", "vec_id"), "held_near")
+        where = rows.join(F.broadcast(near), "vec_id").select("query_id", "v").collect()  # HELD_QUERIES * k rows at most
+        queries = asked.select("vec_id", "v").collect()
+        if where:
+            at = {r["vec_id"]: i for i, r in enumerate(queries)}
+            router.calibrate(np.array([r["v"] for r in queries]), np.array([at[r["query_id"]] for r in where]), router.place(np.array([r["v"] for r in where])))
+
+    @F.pandas_udf(T.IntegerType())
+    def place(v: pd.Series) -> pd.Series:
+        return pd.Series(np.zeros(len(v), np.int32) if router is None or not len(v) else router.place(_matrix(v)).astype(np.int32))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def route(v: pd.Series) -> pd.Series:
-        if router is None:
+        if router is None or not len(v):
             return pd.Series([[0]] * len(v))
-        x = _matrix(v)
-        return pd.Series(list(router.order(x / np.linalg.norm(x, axis=1, keepdims=True))[:, : router.probes].astype(np.int32)))
+        return pd.Series(list(router.order(_matrix(v))[:, : router.probes].astype(np.int32)))
 
-    routed = scratch.table(rows.withColumn("parts", route("v")), "routed")
-    index = routed.select(F.col("parts")[0].alias("part"), "vec_id", "v")
-    asked = routed.filter(is_query).select(F.explode("parts").alias("part"), F.col("vec_id").alias("vec_id"), F.col("v").alias("v"))
+    index = scratch.table(rows.select(place("v").alias("part"), "vec_id", "v"), "placed")
+    asked = scratch.table(rows.filter(is_query).select(F.explode(route("v")).alias("part"), "vec_id", "v"), "asked")
     sizes = index.groupBy("part").agg(F.count("*").alias("n")).join(asked.groupBy("part").agg(F.count("*").alias("nq")), "part")
     out = scratch.table(_search(index, asked, sizes, k), "found")
     if parts > 1:
         need = min(k, n - 1)
         short = out.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("query_id")
-        left = routed.filter(is_query).join(short, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "v")
+        left = rows.filter(is_query).join(short, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "v")
         if not left.isEmpty():
-            whole = index.select(F.lit(0).alias("part"), "vec_id", "v")
             left = scratch.table(left.select(F.lit(0).alias("part"), "vec_id", "v"), "left")
-            sizes = whole.groupBy("part").agg(F.count("*").alias("n")).join(left.groupBy("part").agg(F.count("*").alias("nq")), "part")
-            more = _search(whole, left, sizes, k)
+            more = in_all(left)
             out = out.join(left.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return out.select("query_id", "rank", "vec_id", "score")

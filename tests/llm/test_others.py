@@ -52,6 +52,25 @@ def test_nearest_recall(spark):
     assert recall >= 0.9
 
 
+def test_nearest_recall_uneven_norms(spark):
+    """Long rows are near to queries of many directions; 8 parts."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 16))
+    x = centres[rng.integers(0, 60, 17000)] + 0.5 * rng.standard_normal((17000, 16))
+    x *= np.exp(rng.standard_normal((17000, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    got = nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 20).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[::50] @ x.T
+    s[np.arange(len(s)), np.arange(0, 17000, 50)] = -np.inf
+    best = np.argpartition(-s, 19, axis=1)[:, :20]
+    recall = np.mean([len(found[50 * q] & set(b.tolist())) / 20 for q, b in enumerate(best)])
+    print("recall", recall)
+    assert all(len(f) == 20 for f in found.values())
+    assert recall >= 0.95
+
+
 def test_balanced_parts():
     x = np.random.default_rng(3).standard_normal((512, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
