@@ -27,6 +27,16 @@ MARKS = frozenset(
     " header masthead topbar footer bottombar colophon copyright legal related recommended recommendations more trending popular share sharing social follow subscribe subscription newsletter signup login search searchbox"
     " comment comments commentlist discussion respond reply replies disqus hidden noprint contentinfo complementary form".split()
 )
+#: Whole class names (in <main> outside <article> also ids) that mark other parts even within an article; all else there is left to the density rules.
+CLEAR_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements adbox adslot ad-slot ad-container ad-banner sponsored sponsored-content promo cookie-notice cookie-banner cookie-consent"
+    " sidebar sidenav navbar breadcrumb breadcrumbs pagination related-posts related-articles share-buttons sharing-buttons social-share newsletter newsletter-signup"
+    " comments comment-list commentlist disqus disqus_thread".split()
+)
+#: Landmark roles that do so.
+CLEAR_ROLES = frozenset("navigation complementary contentinfo banner search".split())
+#: Elements that are part of an article's text when they stand in one.
+CONTENT = frozenset(("math", "object"))
 KEPT_WORDS = frozenset("article main content post entry story body".split())
 
 #: The commonest function words of the corpus languages.
@@ -101,7 +111,7 @@ class _Blocks:
         self.tag = tag
 
     def marked(self, tag: str, attrs: str) -> bool:
-        if tag in DROPPED or tag == "header" and not self.article:
+        if tag in DROPPED and not (self.article and tag in CONTENT) or tag == "header" and not self.article:
             return True
         if not attrs or tag in ("html", "body", "article", "main"):
             return False
@@ -109,13 +119,22 @@ class _Blocks:
             name, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value):
                 return True
-            if name in ("class", "id", "role"):
+            if self.article:
+                words = value.lower().split()
+                if name == "role" and not CLEAR_ROLES.isdisjoint(words):
+                    return True
+                if (name == "class" or name == "id" and not self.in_article()) and not CLEAR_MARKS.isdisjoint(words):
+                    return True
+            elif name in ("class", "id", "role"):
                 for word in value.lower().split():
                     parts = _MARK.findall(word)
                     if any(p in MARKS for p in parts) and not any(p in KEPT_WORDS for p in parts):
                         return True
         return False
 
+    def in_article(self) -> bool:
+        return any(t == "article" for t, _, _ in self.open)
+
     def start(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self.cut(tag)

@@ -160,6 +160,32 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='discussion'><h2>Discussion</h2><p>{}</p></section>",
+        "<section class='discussion'><h2>Discussion</h2><p>{}</p></section>",
+        "<h2 id='related-work'>Related work</h2><p>{}</p>",
+        "<h2 id='legal-status'>Legal status</h2><p>{}</p>",
+        "<h2 id='comments'>Comments</h2><p>{}</p>",
+        "<div class='alert warning'><p>{}</p></div>",
+        "<table class='side-by-side'><tr><td>{}</td></tr></table>",
+        "<p>Thus <math><mi>x</mi></math> holds. {}</p>",
+        "<object data='x.svg'><p>{}</p></object>",
+    ],
+)
+def test_article_keeps_ordinary_words(part):
+    import re
+
+    plain = [" ".join(x.split()) for x in re.split("</h2>", re.sub("<(?!/h2)[^>]*>", "", part.format(LONG)))]
+    assert main_text(f"<article><p>{LONG}</p>{part.format(LONG)}</article>") == "\n".join([LONG.strip(), *plain])
+
+
+@pytest.mark.parametrize("part", ["<div class='ad'>{}</div>", "<div class='box sidebar'>{}</div>", "<div class=newsletter>{}</div>", "<section class=comments>{}</section>", "<div role=navigation>{}</div>"])
+def test_article_drops_clear_marks(part):
+    assert main_text(f"<article><p>{LONG}</p>{part.format(LONG)}</article>") == LONG.strip()
+
+
 def test_pages(spark):
     rows = [(1, "u", "<article><p>x &eacute;</p></article>"), (1, "u", "<article><p>x &eacute;</p></article>"), (None, None, None)]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
