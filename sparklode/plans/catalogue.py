@@ -566,6 +566,23 @@ def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.classify(rows).select("file", "slug", "value")
 
 
+@query(
+    """WITH n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem), p AS (SELECT l_orderkey, 'AKID' || substr(md5(l_orderkey::VARCHAR || '-' || i::VARCHAR), 1, 20) AS ak, substr(sha256(l_orderkey::VARCHAR || '-' || i::VARCHAR), 1, 40) AS sk FROM n)
+SELECT l_orderkey::VARCHAR AS file, 'cloud_cred_ak_sk_pair' AS slug, 'AK=' || ak || ', SK=' || sk AS value FROM p"""
+)
+def file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair from every line of an order, in one file by line number: a secret has an access key on both sides and goes with the one before it."""
+    line = F.row_number().over(W.Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    base = table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("i"))
+    base = base.select(F.col("l_orderkey").cast("string").alias("file"), "i", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("i").cast("string")).alias("k"))
+    ak = F.concat(F.lit("AKID"), F.substring(F.md5(F.col("k").cast("binary")), 1, 20))
+    sk = F.substring(F.sha2("k", 256), 1, 40)
+    each = base.select("file", "i", F.explode(F.array(F.struct(F.lit(0).alias("half"), ak.alias("value"), F.lit("secretId").alias("key")), F.struct(F.lit(1).alias("half"), sk.alias("value"), F.lit("secretKey").alias("key")))).alias("c"))
+    place = 2 * F.col("i") + F.col("c.half")
+    rows = each.select("file", place.cast("int").alias("sid"), place.cast("long").alias("pos"), F.col("c.value").alias("value"), F.lit("js-ast").alias("src"), F.concat(F.col("c.key"), F.lit(': "'), F.col("c.value"), F.lit('"')).alias("stmt"))
+    return K.classify(rows).select("file", "slug", "value")
+
+
 @query(
     """WITH s AS (SELECT doc_id, text, regexp_extract(text, '([A-Za-z]{9,})', 1) AS first FROM documents), w AS (SELECT doc_id, text, first, regexp_split_to_array(text, '[ \\t\\n\\f\\v\\r]+') AS ws FROM s WHERE first <> ''),
 p AS (SELECT doc_id, text, ws, list_position(list_transform(ws, lambda x: contains(x, first)), true) AS spot FROM w)
