@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -18,27 +19,49 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as named in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The cluster's shared folder, as named in spark.checkpoint.dir. Where that is unset, a session of one machine (as in
+    tests) sets a temporary one; on a cluster executors would not see it, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sparklode-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Tables written to the shared folder so that lineage ends there; drop() removes one that is no longer read."""
+    """Tables written to the shared folder so that lineage ends there; drop() removes one that is no longer read.
+
+    A result reads its last tables when it is used, so those stay until clear(), or until the caller that wrote the
+    result elsewhere says clear(since).
+    """
+
+    #: Folders that this process has made and not removed.
+    made: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.made.append(self.base)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, f"{self.base}/{name}")
+
+    @classmethod
+    def clear(cls, spark: SparkSession, since: int = 0) -> None:
+        """Removes the folders made since that many of them were there."""
+        for at in cls.made[since:]:
+            remove(spark, at)
+        del cls.made[since:]
 
 
 def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -91,7 +114,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Roller:
-    """Polynomial hashes modulo 2**64 of spans of a sequence, from prefix sums."""
+    """Polynomial hashes modulo 2**64 of spans of a sequence, from prefix sums. Different spans can be made whose hashes are
+    equal, so these choose minimizers and minima only; what is equal is decided by digests() or by the texts."""
 
     def __init__(self, seed: int):
         self.base = int(_odd_numbers(seed, 1)[0])
@@ -147,6 +171,13 @@ def byte_table(pattern_bytes: list[int]) -> np.ndarray:
 SPACE_TABLE = byte_table([0x20, *range(0x09, 0x0E)])
 
 
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Digests of the bytes of spans themselves, as rows of size // 8 numbers: those that decide what is equal."""
+    make = hashlib.blake2b
+    joined = b"".join([make(raw[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(joined, np.int64).reshape(-1, size // 8)
+
+
 def first_min(values: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost smallest value of each window of that width (doubling)."""
     n = len(values) - width + 1

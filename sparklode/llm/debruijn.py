@@ -1,9 +1,11 @@
 """Substring dedup on words by De Bruijn compaction.
 
-Edges of the graph are the windows of 13 words. Segments of windows that share a minimizer are paths; a path whose
-minimizer occurs in no other surroundings does not branch and stands for all its edges at once. Only the
-edges of branching paths are laid out and joined one by one. Source coordinates (document, word) lead
-back to the texts, where two digests of 64 bits tell equal edges from others.
+Edges of the graph are the windows of 13 words, nodes the 12 words that two windows in a row share. Windows that share a
+minimizer travel together: where all segments of a minimizer are equal, their path cannot branch inside and stands for all
+its edges at once, whichever document it is in. The other edges are laid out one by one; a join by their digests gives
+every edge its first document, and how many different edges come before and after it. Edges that follow one
+another in a document become one path where the node between them has one way in and one way out. Source
+coordinates (document, word) lead back to the texts. Edges are told apart by 128-bit digests of their words.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from sparklode.llm.common import Scratch, chunks, keyed_texts
 from sparklode.llm.superkmer import SHIFT, Alphabet, Cutter, covered, list_offsets, marks_by_doc, repeated_segments, utf8
@@ -24,7 +27,7 @@ MINIMIZER_WORDS = 6
 
 
 def _open_edges(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """one, two (digests), doc_id, at (word) of every window of the open segments."""
+    """one, two (digest), doc_id, at (word), before and after (first half of the neighbouring edges' digests, 0 for none) of every window of the open segments."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(alphabet)
@@ -37,15 +40,33 @@ def _open_edges(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> DataFr
                 if not len(doc):
                     continue
                 s = cutter.symbols(texts[lo:hi])
+                order = np.lexsort((start, doc))
+                doc, start, width = doc[order], start[order], width[order]
+                at = np.repeat(start, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
                 doc = np.repeat(doc, width)
-                at = np.repeat(start, width) + np.arange(len(doc)) - np.repeat(np.cumsum(width) - width, width)
-                one, two = cutter.windows(s, s.first[doc] + at)
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(at)], ["one", "two", "doc_id", "at"])
+                place = s.first[doc] + at
+                edge = s.digests(place, place + alphabet.window, 16)
+                one, before, after = edge[:, 0], np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)
+                follows = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + 1)
+                before[1:][follows], after[:-1][follows] = one[:-1][follows], one[1:][follows]
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(edge[:, 1]), pa.array(ids[lo:hi][doc]), pa.array(at), pa.array(before), pa.array(after)], ["one", "two", "doc_id", "at", "before", "after"])
 
-    return docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(run, "one long, two long, doc_id long, at long")
+    return docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(run, "one long, two long, doc_id long, at long, before long, after long")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 13, copies: DataFrame | None = None) -> DataFrame:
+def _paths(hits: DataFrame) -> DataFrame:
+    """doc_id, mark: hits (doc_id, at, way_in, way_out: the edge has one edge before it, one after it) as the paths they make up."""
+    in_doc = W.Window.partitionBy("doc_id").orderBy("at")
+    joined = (F.col("at") == F.lag("at").over(in_doc) + 1) & F.col("way_in") & F.lag("way_out").over(in_doc)
+    number = F.sum(F.when(joined, 0).otherwise(1)).over(in_doc)
+    # a mark counts up to 1 << SHIFT windows, so longer paths are several marks
+    rows = hits.withColumn("path", number).groupBy("doc_id", "path").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    most = (1 << SHIFT) - 1
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int"))))
+    return rows.select("doc_id", (F.shiftleft(F.col("at") + F.col("i") * most, SHIFT) + F.least(F.lit(most), F.col("n") - F.col("i") * most)).alias("mark"))
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 13) -> DataFrame:
     """doc_id, mark (first word << SHIFT | windows): windows of documents that also start in a document of a smaller doc_id.
 
     docs: doc_id, text, unique ids. Spans of a document may overlap.
@@ -53,10 +74,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 13, copies:
     alphabet = Alphabet(True, window, MINIMIZER_WORDS if window > MINIMIZER_WORDS else 1)
     segments = repeated_segments(docs, alphabet, False, scratch)
     edges = scratch.table(_open_edges(docs, marks_by_doc(segments.filter("open"), "marks"), alphabet), "edges")
-    first = edges.groupBy("one", "two").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1").select("one", "two", "d0")
+    ways = [f(c).alias(f"{c}_{f.__name__}") for c in ("before", "after") for f in (F.min, F.max)]
+    first = edges.groupBy("one", "two").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), *ways).filter("d0 < d1")
+    first = first.select("one", "two", "d0", F.expr("before_min = before_max").alias("way_in"), F.expr("after_min = after_max").alias("way_out"))
     first = scratch.table(first, "repeated-edges")  # again so that the join can split a hot edge
-    hits = edges.join(first, ["one", "two"]).filter("doc_id > d0").select("doc_id", (F.shiftleft("at", SHIFT) + 1).alias("mark"))
-    return segments.filter("not open").select("doc_id", "mark").unionByName(hits)
+    hits = edges.select("one", "two", "doc_id", "at").join(first, ["one", "two"]).filter("doc_id > d0").select("doc_id", "at", "way_in", "way_out")
+    return segments.filter("not open").select("doc_id", "mark").unionByName(_paths(hits))
 
 
 def cut_texts(docs: DataFrame, spans: DataFrame, window: int, keep_text: bool = False) -> DataFrame:
@@ -105,6 +128,6 @@ def dedup_substrings(documents: DataFrame, window: int = 13, keep_text: bool = F
     scratch = Scratch(documents.sparkSession, "substrings")
     docs = keyed_texts(documents, "doc_id", "text")
     spans = scratch.table(repeated_spans(docs, scratch, window), "spans")
-    scratch.drop("edges")
-    scratch.drop("segments")
+    for name in ("edges", "segments", "minimizers", "repeated-edges"):
+        scratch.drop(name)
     return cut_texts(docs, spans, window, keep_text)

@@ -8,15 +8,17 @@ copies costs its size, and pairs that could not join two components are not made
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.common import BYTE_VALUES, SPACE_TABLE, Roller, Scratch, chunks, keyed_texts, mix64, word_bounds
+from sparklode.llm.common import Roller, Scratch, chunks, digests, keyed_texts, mix64
 
 #: Minima of a signature; low bits of each that are kept, PER_LONG to a 64-bit number. The first BANDS * ROWS make the bands,
 #: and a first estimate that is cheap.
@@ -31,23 +33,42 @@ SIGMAS = 5.0
 HUB_ROUNDS = 1
 
 _FACTORS = np.random.default_rng(404).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+_LOWER_BYTES = bytes(c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256))
+
+
+#: Words whose numbers a worker keeps (the store is emptied when it is full), and shingles of hubs that it keeps while it compares.
+CACHED_WORDS, KEPT_SHINGLES = 400_000, 200_000
+
+
+class _Numbers(dict):
+    """A 64-bit number of each word, from a digest of its bytes."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return n
+
+
+def shingle_set(text: bytes, words: int) -> set[bytes]:
+    """A text's distinct shingles themselves: the words of each, joined by one space."""
+    w = text.translate(_LOWER_BYTES).split()
+    if len(w) <= words:
+        return {b" ".join(w)} if w else set()
+    return set(map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False)))
 
 
 class Shingler:
-    """Distinct word shingles as 64-bit hashes."""
+    """Distinct word shingles as 64-bit hashes, made of the words' numbers."""
 
     def __init__(self, words: int):
-        self.words, self.bytes, self.rows = words, Roller(21), Roller(22)
+        self.words, self.rows, self.numbers = words, Roller(22), _Numbers()
 
     def sets(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Document (index) and hash of each distinct shingle, in that order."""
-        buf = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-        at = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))))
-        starts, ends = word_bounds(buf, SPACE_TABLE)
-        values = self.bytes.spans(self.bytes.prefix(BYTE_VALUES[buf]), starts, ends)
-        first = np.searchsorted(starts, at)
+        rows = [t.translate(_LOWER_BYTES).split() for t in texts]
+        if len(self.numbers) > CACHED_WORDS:
+            self.numbers.clear()
+        first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))))
+        values = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(rows)), np.uint64, int(first[-1]))
         n = np.diff(first)
         prefix = self.rows.prefix(values)
         width = np.minimum(n, self.words)
@@ -75,12 +96,11 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 some = np.flatnonzero(n)
                 begin = (np.cumsum(n) - n)[some]
                 minima = np.zeros((hi - lo, MINIMA), np.uint32)
-                one, two = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
+                sets = np.zeros((hi - lo, 2), np.int64)
                 if len(some):
                     for i, f in enumerate(_FACTORS):
                         minima[some, i] = np.minimum.reduceat(h * f, begin) >> np.uint64(32)
-                    one[some] = np.add.reduceat(mix64(h), begin)
-                    two[some] = np.bitwise_xor.reduceat(mix64(h * _FACTORS[0]), begin)
+                    sets[some] = digests(h.tobytes(), 8 * begin, 8 * (begin + n[some]), 16)
                 low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(hi - lo, LONGS, PER_LONG)
                 sig = np.bitwise_or.reduce(low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)), axis=2)
                 bands = np.full((hi - lo, BANDS), 0, np.uint64)
@@ -93,8 +113,8 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     [
                         ids.slice(lo, hi - lo),
                         pa.array(n.astype(np.int64)),
-                        pa.array(one.view(np.int64), mask=empty),
-                        pa.array(two.view(np.int64), mask=empty),
+                        pa.array(sets[:, 0], mask=empty),
+                        pa.array(sets[:, 1], mask=empty),
                         pa.array([None if e else x for e, x in zip(empty, sig.view(np.int64).tolist(), strict=True)], pa.list_(pa.int64())),
                         pa.array([None if e else x for e, x in zip(empty, bands.view(np.int64).tolist(), strict=True)], pa.list_(pa.int64())),
                     ],
@@ -130,34 +150,35 @@ def least_estimate(threshold: float, minima: int) -> float:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets have den * intersection >= num * union."""
+    """Of pairs (a, b) those whose full sets of shingles, as words, have den * intersection >= num * union."""
     text = docs.select("doc_id", "text")
     both = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     # b, the hub, may stand in many pairs: its text comes last, and rows of one hub follow one another
     both = both.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, kept = Shingler(shingle), OrderedDict()
+        kept: OrderedDict[int, set[bytes]] = OrderedDict()
+        size = 0
 
-        def of(doc: int, text: bytes) -> np.ndarray:
+        def of(doc: int, text: bytes) -> set[bytes]:
+            nonlocal size
             if doc in kept:
                 kept.move_to_end(doc)
             else:
-                kept[doc] = shingler.sets([text])[1]
-                if len(kept) > 64:
-                    kept.popitem(last=False)
+                kept[doc] = shingle_set(text, shingle)
+                size += len(kept[doc])
+                while size > KEPT_SHINGLES and len(kept) > 1:
+                    size -= len(kept.popitem(last=False)[1])
             return kept[doc]
 
         for batch in batches:
             out_a, out_b = [], []
             cols = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()]
             for a, b, ta, tb in zip(*cols, strict=True):
-                x, y = shingler.sets([ta or b""])[1], of(b, tb or b"")
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if len(small) * den < len(large) * num:
+                x, y = shingle_set(ta or b"", shingle), of(b, tb or b"")
+                if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
                     continue
-                place = np.searchsorted(large, small)
-                common = int(np.count_nonzero(large[np.minimum(place, len(large) - 1)] == small))
+                common = len(x & y)
                 if den * common >= num * (len(x) + len(y) - common):
                     out_a.append(a)
                     out_b.append(b)

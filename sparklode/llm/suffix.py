@@ -145,7 +145,7 @@ def equal_windows(entries: list[bytes], width: int) -> Iterator[list[tuple[int,
 
 
 def _open_entries(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """mini, seg, doc_id, at, entry (bytes) of every open segment."""
+    """mini, seg and seg2 (digest), doc_id, at, entry (bytes) of every open segment."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(alphabet)
@@ -158,14 +158,16 @@ def _open_entries(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> Data
                 if not len(doc):
                     continue
                 s = cutter.symbols(texts[lo:hi])
-                d0, s0, _, mini, seg = cutter.segments(s)
-                place = np.searchsorted(s.first[d0] + s0, s.first[doc] + start)
+                d0, s0, _, mini = cutter.segments(s)
+                first = s.first[doc] + start
+                place = np.searchsorted(s.first[d0] + s0, first)
                 entries = [texts[lo + d][a : a + w - 1 + alphabet.window] for d, a, w in zip(doc.tolist(), start.tolist(), width.tolist(), strict=True)]
+                seg = s.digests(first, first + width - 1 + alphabet.window, 16)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mini[place].view(np.int64)), pa.array(seg[place].view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(start), pa.array(entries, pa.binary())], ["mini", "seg", "doc_id", "at", "entry"]
+                    [pa.array(mini[place].view(np.int64)), pa.array(seg[:, 0]), pa.array(seg[:, 1]), pa.array(ids[lo:hi][doc]), pa.array(start), pa.array(entries, pa.binary())], ["mini", "seg", "seg2", "doc_id", "at", "entry"]
                 )
 
-    return docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(run, "mini long, seg long, doc_id long, at long, entry binary")
+    return docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(run, "mini long, seg long, seg2 long, doc_id long, at long, entry binary")
 
 
 def _runs(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -227,9 +229,9 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, width: int = 100) -> DataF
     segments = repeated_segments(docs, alphabet, True, scratch)
     entries = scratch.table(_open_entries(docs, marks_by_doc(segments.filter("open"), "marks"), alphabet), "entries")
     place = F.struct("doc_id", "at")
-    folded = scratch.table(entries.groupBy("mini", "seg").agg(F.min(place).alias("first")), "folded")
+    folded = scratch.table(entries.groupBy("mini", "seg", "seg2").agg(F.min(place).alias("first")), "folded")
     width_of = F.length("entry") - width + 1
-    whole = entries.join(folded, ["mini", "seg"])
+    whole = entries.join(folded, ["mini", "seg", "seg2"])
     again = whole.filter(place != F.col("first")).select("doc_id", (F.shiftleft("at", SHIFT) + width_of).alias("mark"))
     words = folded.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / TOGETHER).cast("long")
@@ -287,6 +289,6 @@ def dedup_bytes(documents: DataFrame, width: int = 100) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "suffixes")
     docs = keyed_texts(documents, "doc_id", "text")
     spans = scratch.table(repeated_bytes(docs, scratch, width), "spans")
-    for name in ("segments", "entries", "found"):
+    for name in ("segments", "minimizers", "entries", "folded", "found"):
         scratch.drop(name)
     return cut_bytes(docs, spans, width)

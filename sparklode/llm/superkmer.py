@@ -3,6 +3,7 @@
 A window is `window` consecutive symbols (words or bytes) of one document. Its minimizer is the leftmost k-mer
 with the smallest hash, so equal windows have equal minimizers wherever they stand. Consecutive windows with
 the same minimizer occurrence are one segment: a row for some dozen bytes of text in place of a row a window.
+Hashes only choose minimizers; digests of the bytes themselves tell segments and windows apart.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.common import BYTE_VALUES, SPACE_TABLE, Roller, Scratch, chunks, first_min, mix64, word_bounds
+from sparklode.llm.common import BYTE_VALUES, SPACE_TABLE, Roller, Scratch, chunks, digests, first_min, word_bounds
 
 #: How a mark's number holds a segment: start << SHIFT | windows.
 SHIFT = 8
@@ -31,40 +32,51 @@ class Alphabet:
 
 
 class Symbols:
-    """The symbols of a chunk of documents: hash values, the documents' first symbols, places in the buffer."""
+    """The symbols of a chunk of documents: hash values, the documents' first symbols, places in the buffer.
+    Words are parted by one space there, so equal sequences of words are equal bytes."""
 
     def __init__(self, texts: list[bytes], words: bool, bytes_roller: Roller):
-        self.buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        if words:
+            texts = [b" ".join(t.split()) for t in texts]
+        self.raw = b"\n".join(texts) + b"\n"
+        buf = np.frombuffer(self.raw, np.uint8)
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         at = np.concatenate(([0], np.cumsum(sizes)))
         if words:
-            self.starts, self.ends = word_bounds(self.buf, SPACE_TABLE)
-            self.values = bytes_roller.spans(bytes_roller.prefix(BYTE_VALUES[self.buf]), self.starts, self.ends)
+            self.starts, self.ends = word_bounds(buf, SPACE_TABLE)
+            self.values = bytes_roller.spans(bytes_roller.prefix(BYTE_VALUES[buf]), self.starts, self.ends)
             self.first = np.searchsorted(self.starts, at)
             self.gap = 0
         else:
-            self.values = BYTE_VALUES[self.buf]
+            self.starts = self.ends = None
+            self.values = BYTE_VALUES[buf]
             self.first, self.gap = at, 1  # the newline after each document is none of its bytes
         self.sizes = np.diff(self.first) - self.gap
 
+    def digests(self, lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
+        """Digests of the symbols from lo to before hi."""
+        if self.starts is not None:
+            lo, hi = self.starts[lo], self.ends[hi - 1]
+        return digests(self.raw, lo, hi, size)
+
 
 class Cutter:
-    """Hashes and segments of chunks of documents."""
+    """Segments of chunks of documents."""
 
     def __init__(self, alphabet: Alphabet):
         self.alphabet = alphabet
-        self.bytes, self.mini, self.seg, self.check = Roller(11), Roller(12), Roller(13), Roller(14)
+        self.bytes, self.mini = Roller(11), Roller(12)
 
     def symbols(self, texts: list[bytes]) -> Symbols:
         return Symbols(texts, self.alphabet.words, self.bytes)
 
     def segments(self, s: Symbols) -> tuple[np.ndarray, ...]:
-        """document (index in the chunk), start in it, windows, minimizer, digest of the whole segment."""
+        """document (index in the chunk), start in it, windows, minimizer."""
         a = self.alphabet
         n = len(s.values)
         none = np.zeros(0, np.int64)
         if n < a.window:
-            return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+            return none, none, none, none.astype(np.uint64)
         prefix = self.mini.prefix(s.values)
         kmers = self.mini.windows(prefix, a.k)
         at = first_min(kmers, a.window - a.k + 1)
@@ -81,31 +93,23 @@ class Cutter:
         order = np.cumsum(begins)[inside]
         width = np.bincount(order, minlength=len(starts) + 1)[1:]
         doc = np.searchsorted(s.first, starts, "right") - 1
-        prefix2 = self.seg.prefix(s.values)
-        digest = self.seg.spans(prefix2, starts, starts + width - 1 + a.window)
-        return doc, starts - s.first[doc], width, kmers[at[starts]], digest
-
-    def windows(self, s: Symbols, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent digests of the windows that start at these symbols of the chunk."""
-        w = self.alphabet.window
-        one = self.seg.spans(self.seg.prefix(s.values), places, places + w)
-        two = self.check.spans(self.check.prefix(mix64(s.values)), places, places + w)
-        return one, two
+        return doc, starts - s.first[doc], width, kmers[at[starts]]
 
 
 def utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def segment_rows(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """mini, seg, doc_id, mark (start << SHIFT | windows), again (the minimizer comes more than once in the document)."""
+def segment_rows(docs: DataFrame, alphabet: Alphabet, digest: bool) -> DataFrame:
+    """mini, doc_id, mark (start << SHIFT | windows), again (the minimizer comes more than once in the document) and, if asked for, seg (digest of the segment)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(alphabet)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             for lo, hi in chunks(texts):
-                doc, start, width, mini, seg = cutter.segments(cutter.symbols(texts[lo:hi]))
+                s = cutter.symbols(texts[lo:hi])
+                doc, start, width, mini = cutter.segments(s)
                 if not len(doc):
                     continue
                 order = np.lexsort((mini, doc))
@@ -114,11 +118,14 @@ def segment_rows(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
                 again = np.zeros(len(doc), bool)
                 again[order[1:][same]] = True
                 again[order[:-1][same]] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mini.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((start << SHIFT) | width), pa.array(again)], ["mini", "seg", "doc_id", "mark", "again"]
-                )
+                cols = [pa.array(mini.view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array((start << SHIFT) | width), pa.array(again)]
+                if digest:
+                    first = s.first[doc] + start
+                    cols.append(pa.array(s.digests(first, first + width - 1 + alphabet.window, 8)[:, 0]))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "mini long, seg long, doc_id long, mark long, again boolean")
+    names = ["mini", "doc_id", "mark", "again", "seg"][: 4 + digest]
+    return docs.select("doc_id", "text").mapInArrow(run, "mini long, doc_id long, mark long, again boolean" + (", seg long" if digest else ""))
 
 
 def repeated_segments(docs: DataFrame, alphabet: Alphabet, within: bool, scratch: Scratch) -> DataFrame:
@@ -129,12 +136,11 @@ def repeated_segments(docs: DataFrame, alphabet: Alphabet, within: bool, scratch
     a whole (open false). Where they differ, their windows have to be compared one by one (open true). within:
     a window may also repeat in its own document.
     """
-    rows = segment_rows(docs, alphabet)
-    groups = rows.groupBy("mini").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.count("*").alias("copies"))
+    groups = segment_rows(docs, alphabet, True).groupBy("mini").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("seg").alias("s0"), F.max("seg").alias("s1"), F.count("*").alias("copies"))
     groups = groups.filter("copies > 1" if within else "d0 < d1").select("mini", "d0", F.col("s0").eqNullSafe(F.col("s1")).alias("same"), "copies")
     # a table of its own, so that the join below deals both sides itself and can split a hot minimizer
     groups = scratch.table(groups, "minimizers")
-    met = rows.select("mini", "doc_id", "mark", "again").join(groups, "mini")
+    met = segment_rows(docs, alphabet, False).join(groups, "mini")
     opened = ~F.col("same") | (F.col("doc_id") == F.col("d0"))
     wanted = ~F.col("same") | (F.col("doc_id") > F.col("d0")) | (F.lit(within) & F.col("again"))
     return scratch.table(met.filter(wanted).select("doc_id", "mark", "mini", "copies", opened.alias("open")), "segments")

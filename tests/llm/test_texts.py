@@ -65,6 +65,53 @@ def test_substrings(spark):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(ws), len(gone), hashlib.sha256(kept).hexdigest()), d
 
 
+def twins(n=512):
+    """Two words of many letters whose polynomial hashes modulo 2**64 are equal whatever the odd base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_hash_are_not_equal(spark):
+    one, two = twins(2048)
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = frame(spark, [(1, f"{rest} {one}"), (2, f"{rest} {two}"), (3, f"{rest} {one}")], False)
+    assert sorted((r.doc_id, r.n_removed) for r in dedup_substrings(docs).collect()) == [(1, 0), (2, 0), (3, 13)]
+    docs = frame(spark, [(1, f"a b c {one}"), (2, f"a b c {two}"), (3, f"a b c {one}")], False)
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_bytes_of_equal_hash_are_not_equal(spark):
+    one, two = twins(128)
+    rows = [(i, one[a : a + n] + two[b : b + 128 - n] + "x" * i) for i, (a, b, n) in enumerate([(0, 0, 128), (0, 0, 0), (5, 28, 100), (28, 0, 100), (0, 64, 64), (64, 0, 64), (0, 0, 64)])]
+    rows += [(20 + i, t[::-1]) for i, t in rows]
+    seen, got = set(), {r.doc_id: r.n_removed for r in dedup_bytes(frame(spark, rows, False)).collect()}
+    for d, t in rows:
+        gone = set()
+        for i in range(len(t) - 99):
+            if t[i : i + 100] in seen:
+                gone |= set(range(i, i + 100))
+            seen.add(t[i : i + 100])
+        assert got[d] == len(gone), d
+
+
+def test_long_paths_and_branches(spark):
+    """Paths longer than a mark counts, that branch where documents part."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(9, " ".join(words))]
+    for d in range(10, 25):
+        a, b = sorted(rng.sample(range(1500), 2))
+        rows.append((d, " ".join(["new", str(d), *words[a:b], *(words[:200] if d % 2 else []), "end"])))
+    got = {r.doc_id: r.n_removed for r in dedup_substrings(frame(spark, rows, False)).collect()}
+    first = {}
+    for d, t in rows:
+        ws, gone = t.split(), set()
+        for i in range(len(ws) - 12):
+            if first.setdefault(tuple(ws[i : i + 13]), d) < d:
+                gone |= set(range(i, i + 13))
+        assert got[d] == len(gone), d
+
+
 def test_bytes(spark):
     rows = corpus(2)
     got = {r.doc_id: r for r in dedup_bytes(frame(spark, rows + rows[:5])).collect()}
