@@ -23,8 +23,9 @@ from sparklode.llm.quality import fit
 #: Labelled rows to learn from, those with the smallest hashes of their ids; a third of them only calibrates the score.
 TRAIN_ROWS = 20_000
 
-#: Features kept, the toxic rows that one must occur in, and its least weight.
-MOST_FEATURES, LEAST_ROWS, LEAST_WEIGHT = 5000, 8, 2.0
+#: A feature's weight is shrunk by so many of its standard errors, so that one seen in few rows needs to be clearer; and the
+#: least weight that is left of a feature which counts.
+SHRINK, LEAST_WEIGHT = 1.5, 2.0
 
 #: Word beginnings that count as features, besides whole words.
 BEGINNINGS = (4, 5, 6)
@@ -49,6 +50,7 @@ _SIGN = re.escape("".join(LEET))
 _BETWEEN = r"(?:[^\w\s]|_)"
 #: What the lattice may read as other letters: signs, letters that repeat, and letters with something between. Accents are folded before.
 _SUSPECT = re.compile(rf"[{_SIGN}]|([^\W\d_])\1|[^\W\d_]{_BETWEEN}+[^\W\d_]")
+_LEETED = re.compile(f"[{_SIGN}]")
 _TRAIL = re.compile(r"(?:[^\w\s][^\w\s]+|[.,;:?\"')\]])+$")
 #: Single letters and signs set apart, by any number of separators as in the lattice.
 _APART = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_SIGN}])(?:(?:[^\w{_SIGN}]|_)+(?:[^\W_]|[{_SIGN}])(?![^\W_])){{2,}}")
@@ -76,7 +78,10 @@ def symbols_of(text: str) -> np.ndarray:
     return np.where(points < 0x250, _FOLD[np.minimum(points, 0x24F)], SYMBOLS - 1)
 
 
-_BASE = {c: chr(96 + s) for c, s in enumerate(_FOLD.tolist()) if c > 127 and 0 < s < SYMBOLS - 1}
+_SYMBOL = {chr(c): s for c, s in enumerate(_FOLD.tolist())}
+#: Accented letters and their base letters.
+_BASE = {c: chr(96 + s) for c, s in _SYMBOL.items() if ord(c) > 127 and 0 < s < SYMBOLS - 1}
+_ACCENTED = re.compile(f"[{''.join(_BASE)}]")
 
 
 def folded(text: str) -> str:
@@ -126,20 +131,34 @@ class LetterModel:
     def restore(self, lattice: list[list[tuple[tuple[int, ...], float]]]) -> str:
         """The likeliest reading. A step of the lattice has emissions (symbols, perhaps none) with their costs."""
         log, n = self.log, SYMBOLS
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        # a state, the last two symbols, is one number, so that with the next symbol it is a place in log
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for step in [*lattice, [((0,), 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (score, path) in states.items():
+            after: dict[int, tuple[float, tuple | None]] = {}
+            if len(step) == 1 and len(step[0][0]) == 1 and step[0][0][0]:
+                c, cost = step[0][0][0], step[0][1]
+                for key, (score, path) in states.items():
+                    key = key * n + c
+                    s = score + cost + log[key]
+                    key %= n * n
+                    old = after.get(key)
+                    if old is None or s > old[0]:
+                        after[key] = (s, (c, path))
+                states = after
+                continue
+            for key, (score, path) in states.items():
                 for emitted, cost in step:
-                    x, y, s, p = a, b, score + cost, path
+                    k, s, p = key, score + cost, path
                     for c in emitted:
-                        if c == 0 and y == 0:
+                        if c == 0 and k % n == 0:
                             continue
-                        s += log[(x * n + y) * n + c]
-                        x, y, p = y, c, (c, p)
-                    old = after.get((x, y))
+                        k = k * n + c
+                        s += log[k]
+                        k %= n * n
+                        p = (c, p)
+                    old = after.get(k)
                     if old is None or s > old[0]:
-                        after[(x, y)] = (s, p)
+                        after[k] = (s, p)
             states = after
         _, path = max(states.values(), key=lambda v: v[0])
         out = []
@@ -151,7 +170,8 @@ class LetterModel:
 
 def lattice_of(span: str) -> list[list[tuple[tuple[int, ...], float]]]:
     steps = []
-    symbols = symbols_of(span).tolist()
+    other = SYMBOLS - 1
+    symbols = [_SYMBOL.get(c, other) for c in span]
     i = 0
     while i < len(span):
         c, s, j = span[i], symbols[i], i + 1
@@ -182,26 +202,33 @@ def lattice_of(span: str) -> list[list[tuple[tuple[int, ...], float]]]:
 
 class Restorer:
     def __init__(self, model: LetterModel):
-        self.model, self.known = model, {}
+        self.model = model
+        self.known: dict[str, tuple[str, ...]] = {}  # of tokens
+        self.read_before: dict[str, tuple[str, ...]] = {}  # of parts of tokens, and of spans
 
     def read(self, span: str) -> str:
         """Spans of any length are decoded whole: the work grows with the length, the states do not."""
         return self.model.restore(lattice_of(span))
 
-    def read_words(self, span: str, token: bool) -> tuple[str, ...]:
-        """The words that a span is restored to; a token that has one reading only gives none, one with punctuation after it is read without it too."""
-        out = self.known.get(span)
-        if out is None:
-            found: set[str] = set()
-            for part in {span, _TRAIL.sub("", span)} if token else {span}:
-                if len(part) > 1 and (not token or _SUSPECT.search(part)):
-                    found.update(self.read(part).split())
-            out = tuple(found)
-            if len(span) <= LONGEST_KNOWN:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                self.known[span] = out
-        return out
+    @staticmethod
+    def keep(store: dict[str, tuple[str, ...]], span: str, words: tuple[str, ...]) -> tuple[str, ...]:
+        if len(span) <= LONGEST_KNOWN:
+            if len(store) > 200_000:
+                store.clear()
+            store[span] = words
+        return words
+
+    def read_part(self, span: str) -> tuple[str, ...]:
+        out = self.read_before.get(span)
+        return self.keep(self.read_before, span, tuple(dict.fromkeys(self.read(span).split()))) if out is None else out
+
+    def read_token(self, token: str) -> tuple[str, ...]:
+        """The words that a token is restored to, none if it has one reading only. One with punctuation after it is read without
+        it, and as a whole too where some of that could be letters."""
+        core = token if token.isalpha() else _TRAIL.sub("", token)
+        parts = [core] if core is token or not _LEETED.search(token, len(core)) else [token, core]
+        found = [w for p in parts if len(p) > 1 and _SUSPECT.search(p) for w in self.read_part(p)]
+        return self.keep(self.known, token, tuple(dict.fromkeys(found)))
 
     def words(self, text: str) -> set[str]:
         """The distinct words of a text, lower-cased, with those that its suspicious spans are restored to."""
@@ -210,11 +237,16 @@ class Restorer:
             low = _UNSEEN.sub("", low)
         words = set(_WORD.findall(low))
         if not low.isascii():
-            low = low.translate(_BASE)
+            low = _ACCENTED.sub(lambda m: _BASE[m[0]], low)
+        known = self.known
         for token in set(low.split()):
-            words.update(self.read_words(token, True))
+            out = known.get(token)
+            if out is None:
+                out = self.read_token(token)
+            if out:
+                words.update(out)
         for m in _APART.finditer(low):
-            words.update(self.read_words(m[0], False))
+            words.update(self.read_part(m[0]))
         return words
 
 
@@ -226,7 +258,7 @@ def features_of(words: set[str]) -> set[str]:
 
 
 def _learn(sample: DataFrame, model: LetterModel) -> dict[str, float]:
-    """Weights of features: log of how much likelier a toxic row holds it. sample: doc_id, text, y."""
+    """Weights of features: log of how much likelier a toxic row holds it, shrunk. sample: doc_id, text, y; its size bounds the features."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, counts, rows = Restorer(model), (Counter(), Counter()), [0, 0]
@@ -243,9 +275,9 @@ def _learn(sample: DataFrame, model: LetterModel) -> dict[str, float]:
     total = counts.filter("feature = ''").first()
     if total is None:
         return {}
-    weight = F.log((F.col("n1") + 0.5) / (total["n1"] + 1.0)) - F.log((F.col("n0") + 0.5) / (total["n0"] + 1.0))
-    kept = counts.filter(f"feature != '' and n1 >= {LEAST_ROWS}").withColumn("w", weight).filter(F.col("w") >= LEAST_WEIGHT)
-    out = {r["feature"]: r["w"] for r in kept.orderBy(F.desc(F.col("w") * F.sqrt("n1")), "feature").limit(MOST_FEATURES).collect()}
+    weight = F.log((F.col("n1") + 0.5) / (total["n1"] + 1.0)) - F.log((F.col("n0") + 0.5) / (total["n0"] + 1.0)) - SHRINK * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
+    kept = counts.filter("feature != '' and n1 > 0").withColumn("w", weight).filter(F.col("w") >= LEAST_WEIGHT)
+    out = {r["feature"]: r["w"] for r in kept.collect()}
     counts.unpersist()
     # restored spans have base letters only
     return out | {f: w for k, w in out.items() if (f := folded(k)) not in out}

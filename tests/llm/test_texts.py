@@ -381,3 +381,33 @@ def test_read_without_gates(restorer, text, word):
 def test_long_token_is_read_whole(restorer):
     for at in range(190, 201):
         assert "idiot" in restorer.words("the-good-people-" * 12 + "-" * (at - 192) + "1d10t-the-good-people")
+
+
+def walk(span, log, n=28):
+    """The best score of all readings of a lattice, one by one."""
+    best = (-1e300, "")
+    paths = [((0, 0), 0.0, ())]
+    for step in [*lattice_of(span), [((0,), 0.0)]]:
+        after = []
+        for (a, b), score, out in paths:
+            for emitted, cost in step:
+                x, y, s, o = a, b, score + cost, out
+                for c in emitted:
+                    if c or y:
+                        s += log[(x * n + y) * n + c]
+                        x, y, o = y, c, (*o, c)
+                after.append(((x, y), s, o))
+        paths = after
+    best = max(s for _, s, _ in paths)
+    return {"".join(" " if c == 0 else chr(96 + c) for c in o).strip() for _, s, o in paths if s > best - 1e-9}
+
+
+@pytest.mark.parametrize("span", ["1d10t", "i-d-i-o-t", "m00rr0n", "a$$", "!!d!0t", "b.4.d", "sscc11", "l0s3rr", "(|o0"])
+def test_viterbi_finds_the_best_reading(restorer, span):
+    assert restorer.read(span) in walk(span, restorer.model.log)
+
+
+def test_reading_does_not_depend_on_order(restorer):
+    texts = ["a.b.c is", "so a.b.c, a.b.c! and a . b . c", "i d i o t", "i-d-i-o-t! i-d-i-o-t", "a$$ a$$. a$$!"]
+    alone = [Restorer(restorer.model).words(t) for t in texts]
+    assert [restorer.words(t) for t in reversed(texts)] == alone[::-1]
