@@ -1,7 +1,7 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one labels blocks by place, link density, length and stop-word density; pass two lets the
-ambiguous short blocks inherit the label of their nearest decided neighbours.
+Pass one labels blocks by place, link density, length and stop-word density (where a text's language has no list here, by
+its sentences); pass two lets the ambiguous short blocks inherit the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ MARKS = frozenset(
     " header masthead topbar footer bottombar colophon copyright legal related recommended recommendations more trending popular share sharing social follow subscribe subscription newsletter signup login search searchbox"
     " comment comments commentlist discussion respond reply replies disqus hidden noprint contentinfo complementary form".split()
 )
+#: Those that as a part of a longer class name also mark ordinary text: what stands there is judged by its density, and dropped unless it is long text.
+WEAK_PARTS = frozenset("alert warning side rail form legal related recommended recommendations more trending popular share sharing social follow search discussion respond tabs header complementary".split())
 #: Whole class names (in <main> outside <article> also ids) that mark other parts even within an article; all else there is left to the density rules.
 CLEAR_MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements adbox adslot ad-slot ad-container ad-banner sponsored sponsored-content promo cookie-notice cookie-banner cookie-consent"
@@ -39,16 +41,34 @@ CLEAR_ROLES = frozenset("navigation complementary contentinfo banner search".spl
 CONTENT = frozenset(("math", "object"))
 KEPT_WORDS = frozenset("article main content post entry story body".split())
 
-#: The commonest function words of the corpus languages.
+#: The commonest function words of languages that part words by spaces.
 STOP_WORDS = frozenset(
     "the of and to in a is that it for on with as are was by be this an or at from not have has but which they his her you we he she"
     " der die das und in zu den von mit sich des auf für ist im dem nicht ein eine als auch es an er hat dass aus bei sie nach wird einer um am sind noch wie einem über so"
     " le la les de des et en un une du que est pour qui dans par sur pas plus au ne se ce il sont avec son elle ou mais aux cette"
-    " el los las y en que del un una por con no para su al lo como más o pero sus le ha se es".split()
+    " el los las y en que del un una por con no para su al lo como más o pero sus le ha se es"
+    " il di che è e la per un una non sono del della dei con ma si da nel alla gli lo come anche questo"
+    " o os as que de e do da em um uma para com não por mais dos das na no se foi ao ele sua"
+    " de het een en van is dat die in te op zijn niet met voor er aan om ook maar bij uit"
+    " и в не на что я с он как это по но они к у из за то от так же для был о его она мы"
+    " i w nie na z to się że do jest jak o ale po co tak od za przez był dla"
+    " och att det i en är som på för av med inte den till har om ett men var jag"
+    " ve bir bu da de için ile çok ne gibi daha olan olarak ama o kadar sonra en"
+    " في من على أن إلى التي الذي عن مع هذا هذه كان ما لا هو هي أو ثم بعد قد و".split()
 )
+#: Characters of scripts that do not part words by spaces; each says about as much as three letters.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+#: What ends a sentence.
+_SENTENCE = re.compile(r"[.!?…։؟۔।](?=[\s\"'”’»)\]]|$)|[。！？｡]")
 SHORT, LONG = 70, 200
 LINKS_MOST, STOPS_LEAST, STOPS_SURE = 0.5, 0.12, 0.25
 
+#: Letters a sentence, at most, of text that has no known function words; and share of links in it.
+SENTENCE_LETTERS, SENTENCE_LINKS = 400, 0.2
+
+#: An article's tag loses its say if text outside it is so many times as long.
+OUTWEIGHED = 2
+
 _SPACE = re.compile(r"\s+")
 _MARK = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
@@ -65,9 +85,9 @@ class _Blocks:
     """The blocks of one page, from a scan over its tags that forgives unclosed and stray ones."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, bool, bool]] = []  # tag, dropped from here on, opens an article
-        self.dropped = self.article = self.links = 0
-        self.blocks: list[tuple[str, str, int, bool, bool]] = []  # tag, text, characters in links, dropped, article
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, dropped from here on, opens an article, doubtful from here on
+        self.dropped = self.article = self.links = self.weak = 0
+        self.blocks: list[tuple[str, str, int, bool, bool, bool]] = []  # tag, text, characters in links, dropped, article, doubtful
         self.parts: list[str] = []
         self.linked = 0
         self.tag = ""
@@ -106,34 +126,38 @@ class _Blocks:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((self.tag, text, self.linked, self.dropped > 0, self.article > 0))
+                self.blocks.append((self.tag, text, self.linked, self.dropped > 0, self.article > 0, self.weak > 0))
             self.parts, self.linked = [], 0
         self.tag = tag
 
-    def marked(self, tag: str, attrs: str) -> bool:
+    def marked(self, tag: str, attrs: str) -> tuple[bool, bool]:
+        """Whether an element is dropped, and whether it is doubtful."""
         if tag in DROPPED and not (self.article and tag in CONTENT) or tag == "header" and not self.article:
-            return True
+            return True, False
         if not attrs or tag in ("html", "body", "article", "main"):
-            return False
+            return False, False
+        weak = False
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value):
-                return True
+                return True, False
             if self.article:
                 words = value.lower().split()
                 if name == "role" and not CLEAR_ROLES.isdisjoint(words):
-                    return True
+                    return True, False
                 if (name == "class" or name == "id" and not self.in_article()) and not CLEAR_MARKS.isdisjoint(words):
-                    return True
+                    return True, False
             elif name in ("class", "id", "role"):
                 for word in value.lower().split():
-                    parts = _MARK.findall(word)
-                    if any(p in MARKS for p in parts) and not any(p in KEPT_WORDS for p in parts):
-                        return True
-        return False
+                    parts = MARKS.intersection(_MARK.findall(word))
+                    if parts and KEPT_WORDS.isdisjoint(_MARK.findall(word)):
+                        if word in MARKS or not parts <= WEAK_PARTS:
+                            return True, False
+                        weak = True
+        return False, weak
 
     def in_article(self) -> bool:
-        return any(t == "article" for t, _, _ in self.open)
+        return any(t == "article" for t, *_ in self.open)
 
     def start(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
@@ -147,17 +171,19 @@ class _Blocks:
                 self.close_last()
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self.close_last()
-        drops, article = self.marked(tag, attrs), tag in ("article", "main")
-        self.open.append((tag, drops, article))
+        (drops, weak), article = self.marked(tag, attrs), tag in ("article", "main")
+        self.open.append((tag, drops, article, weak))
         self.dropped += drops
+        self.weak += weak
         self.article += article
         self.links += tag == "a"
 
     def close_last(self) -> None:
-        tag, drops, article = self.open.pop()
+        tag, drops, article, weak = self.open.pop()
         if tag in BLOCK:
             self.cut("")
         self.dropped -= drops
+        self.weak -= weak
         self.article -= article
         self.links -= tag == "a"
 
@@ -180,47 +206,61 @@ class _Blocks:
             self.linked += len(data.strip())
 
 
-def blocks_of(html: str) -> list[tuple[str, str, int, bool, bool]]:
+def blocks_of(html: str) -> list[tuple[str, str, int, bool, bool, bool]]:
     page = _Blocks()
     page.read(html)
     return page.blocks
 
 
-def _first_label(text: str, linked: int, dropped: bool) -> int:
+def _length(text: str) -> int:
+    """Characters, those of dense scripts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _first_label(text: str, linked: int, dropped: bool, weak: bool) -> int:
     """1 main text, 0 another part, -1 ambiguous."""
     if dropped or linked > LINKS_MOST * len(text):
         return 0
-    if len(text) < SHORT:
-        return -1
+    n = _length(text)
+    if n < SHORT:
+        return -1 + weak
     words = _WORD.findall(text.lower())
     stops = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
-    if len(text) >= LONG and stops >= STOPS_LEAST or stops >= STOPS_SURE:
+    if n >= LONG and (stops >= STOPS_LEAST or linked <= SENTENCE_LINKS * len(text) and len(_SENTENCE.findall(text)) * SENTENCE_LETTERS >= n):
         return 1
-    return -1
+    return 1 if stops >= STOPS_SURE and not weak else -1 + weak
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks, one a line; empty for a null, empty or text-less page.
 
-    An ambiguous block inside an article looks at neighbours inside it only, and is main text if none of
-    them is decided; elsewhere it takes the label of the nearest decided block, the following one for a
-    heading and for ties between two that disagree, and is left out if nothing is decided.
+    Where there is an article element, the text is looked for in it alone, unless what is plainly text outside is
+    OUTWEIGHED times as long (a teaser is an article element too). An ambiguous block inside an article looks at neighbours inside it only,
+    and is main text if none of them is decided; elsewhere it takes the label of the nearest decided block, the following one
+    for a heading and for ties between two that disagree. Where no block is decided to be text, those count that are not short.
     """
     blocks = blocks_of(html or "")
-    first = [_first_label(text, linked, dropped) for _, text, linked, dropped, _ in blocks]
-    any_article = any(article for *_, article in blocks)
+    first = [_first_label(text, linked, dropped, weak) for _, text, linked, dropped, _, weak in blocks]
+    within = [inside for *_, inside, _ in blocks]
+    inner = sum(_length(b[1]) for b, f, w in zip(blocks, first, within, strict=True) if w and f)
+    outer = sum(_length(b[1]) for b, f, w in zip(blocks, first, within, strict=True) if not w and f == 1)
+    if outer > OUTWEIGHED * inner:
+        within = [False] * len(blocks)
+    any_article = any(within)
+    if not any_article and 1 not in first:
+        first = [1 if f < 0 and _length(b[1]) >= SHORT else f for b, f in zip(blocks, first, strict=True)]
     before: list[tuple[int, int] | None] = [None] * len(blocks)
     after: list[tuple[int, int] | None] = [None] * len(blocks)
     for order, into in ((range(len(blocks)), before), (range(len(blocks) - 1, -1, -1), after)):
         near: dict[bool, tuple[int, int]] = {}
         for i in order:
-            inside = blocks[i][4]
+            inside = within[i]
             into[i] = near.get(inside)
             if first[i] >= 0 and not (inside and blocks[i][3]):
                 near[inside] = (i, first[i])
     out = []
-    for i, (tag, text, _, _, inside) in enumerate(blocks):
-        label = first[i]
+    for i, (tag, text, *_) in enumerate(blocks):
+        label, inside = first[i], within[i]
         if any_article and not inside:
             label = 0
         elif label < 0:
