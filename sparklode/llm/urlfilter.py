@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklode.llm.common import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Listed keys up to which the filter words and the rules are broadcast (under about 40 MB); longer lists are joined by shuffle.
@@ -50,11 +52,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     verdict (default if none fits).
 
     A null url, or one without ://, has an empty host and path and meets no rule with a host. Repeated
-    rows and null ids are kept as they are. An empty list gives every page the default. Each url gives one
-    key for each suffix of its host and each listed path length; the blocked Bloom filter lets through
-    listed keys and a few others, and the join on the whole key removes those. Pages are dealt by row, so a
-    hot host is never gathered.
+    rows and null ids are kept as they are. An empty list gives every page the default. Each distinct host and path gives
+    one key for each suffix of the host and each listed path length; the blocked Bloom filter lets through
+    listed keys and a few others, and the join on the whole key removes those. What decides a host and path then
+    goes back to its pages by a join that can split a hot one.
     """
+    spark = pages.sparkSession
     listed = rules.select(
         F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")
     ).filter("r_host != '' and r_verdict is not null")
@@ -62,8 +65,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     n_rules = listed.count()
     # path lengths of the list: at most as many as a listed path has characters
     lengths = sorted(r[0] for r in listed.select(F.length("r_path")).distinct().collect())
-    rows = pages.select("page_id", "url", F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not n_rules:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     small = F.broadcast if n_rules <= BROADCAST_RULES else (lambda df: df)
@@ -72,17 +74,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("path", 1, n).alias("p")) for n in lengths]), lambda x: F.length(x["p"]) == x["n"])
     keys = (
-        rows.withColumn("prefix", F.explode_outer(F.transform(prefixes, lambda x: x["p"])))
+        rows.filter("host != ''").select("host", "path").distinct()
+        .withColumn("prefix", F.explode(F.transform(prefixes, lambda x: x["p"])))
         .withColumn("suffix", F.explode(suffixes))
-        .withColumn("key", F.concat_ws("\n", "suffix", F.coalesce("prefix", F.lit("\x00"))))
+        .withColumn("key", F.concat_ws("\n", "suffix", "prefix"))
         .withColumn("h", F.xxhash64("key"))
         .withColumn("block", _block(F.col("h"), blocks))
         .withColumn("mask", _mask(F.col("h")))
-    )
+    )
     words = bloom_words(listed, "key", blocks)
-    passed = keys.join(small(words), "block", "left").withColumn("key", F.when(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"), F.col("key")))
-    passed = passed.select("row", "page_id", "host", "path", "key")
-    exact = passed.join(small(listed), "key", "left")
-    fit = F.when(F.col("r_host").isNotNull(), F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("nh"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")))
-    best = exact.groupBy("row", "page_id", "host", "path").agg(F.max(fit).alias("best"))
-    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    passed = keys.join(small(words), "block").filter(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).select("host", "path", "key")
+    exact = passed.join(small(listed), "key")
+    fit = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("nh"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
+    # a table of its own, so that the join deals both sides itself and can split a hot host and path
+    best = Scratch(spark, "urls").table(exact.groupBy("host", "path").agg(F.max(fit).alias("best")), "best")
+    out = rows.join(best, ["host", "path"], "left")
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -131,6 +131,25 @@ def test_urls(spark):
     assert sorted([(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got], key=key) == sorted([(i, *judge(u)) for i, u, _ in rows], key=key)
 
 
+def test_urls_with_many_rules(spark, monkeypatch):
+    """Rules joined by shuffle: only keys that pass the filter reach the exact join, and a hot url comes back whole."""
+    import sparklode.llm.urlfilter as urlfilter
+
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 10)
+    rules = [(f"h{i}.example", f"/p{i % 7}/", ["allow", "block"][i % 2]) for i in range(3000)] + [("example", "/", "block"), ("h5.example", "/p5/x", "allow")]
+    urls = [f"http://{'www.' * (i % 2)}h{i % 4000}.example/p{i % 9}/x" for i in range(2000)] + ["http://h5.example/p5/x"] * 2000 + [None] * 500 + [f"http://other{i}.org/p1/" for i in range(500)]
+    rows = list(enumerate(urls))
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    by = {}
+    for h, p, v in rules:
+        by.setdefault(h, []).append((len(h) + len(p), len(h), h + p, v, p))
+    for i, u in rows:
+        host, path = (u.split("/")[2], "/" + u.split("/", 3)[3]) if u else ("", "")
+        labels = host.split(".")
+        fits = [f for k in range(len(labels)) for f in by.get(".".join(labels[k:]), []) if path.startswith(f[4])]
+        assert got[i] == (max(fits)[2:4] if fits else (None, "allow")), u
+
+
 def test_urls_without_rules(spark):
     empty = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
