@@ -147,29 +147,28 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def pack(pieces: DataFrame, size: int, scratch: Scratch, items_per_task: int = 20_000, nearly_full: float = 0.995, fan_in: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, size: int, scratch: Scratch, items_per_task: int = 20_000, nearly_full: float = 0.995) -> DataFrame:
     """pieces (doc_id, piece, length) with sequence_id and offset.
 
-    Pieces are dealt by hash and packed best-fit in each partition; bins at least nearly_full of the size
-    are emitted, the others become items of the next round, which has fan_in times fewer partitions, until
-    one is left. A round that merges nothing more ends the tree: bins over half full that no other bin can join
-    are emitted in their round. A partition takes its rows in order of length and id, so a task that is
-    run again makes the same bins.
+    Pieces are dealt by hash and packed best-fit in each partition. Bins that are nearly full, or that not even the smallest
+    bin left anywhere fits into, are emitted; the others are the items of the next round, in as many partitions as their number
+    asks for, so no task ever takes more. Best-fit leaves one bin of half the size or less in a partition, and only with
+    such bins can others join: when a round doesn't halve their number, they alone go on, and the rest is emitted. The tree ends
+    with a round of one partition, or when nothing can join. A partition takes its rows in order of length and id, so
+    a task that is run again makes the same bins.
     """
-    spark = pieces.sparkSession
-    n = pieces.count()
-    parts = max(1, -(-n // items_per_task))
-    # members: (doc_id, piece, length) of a bin in the order in which they lie
-    items = pieces.select(F.array(F.struct("doc_id", "piece", "length")).alias("members"), F.col("length").alias("total"))
-    out, level = None, 0
-    schema = "sequence_id long, done boolean, total long, members array<struct<doc_id:long,piece:int,length:long>>"
+    # members: (doc_id, piece, offset) of a bin in the order in which they lie
+    items = pieces.select(F.array(F.struct("doc_id", "piece", F.lit(0).cast("long").alias("offset"))).alias("members"), F.col("length").alias("total"))
+    n = n_members = pieces.count()
+    out, level, small_before = None, 0, None
+    schema = "sequence_id long, total long, members array<struct<doc_id:long,piece:int,offset:long>>"
     while True:
-        last = parts == 1
+        parts = max(1, -(-n // items_per_task), -(-n_members // (8 * items_per_task)))
         # dealt by the first member's id, so that a retried task reads the same items
         dealt = items.withColumn("p", F.pmod(F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece"], F.lit(level)), F.lit(parts)).cast("int"))
         dealt = dealt.repartition(parts, "p")
 
-        def run(frames: Iterable[pd.DataFrame], level: int = level, last: bool = last) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterable[pd.DataFrame], level: int = level) -> Iterator[pd.DataFrame]:
             got = [f for f in frames if len(f)]
             if not got:
                 return
@@ -177,24 +176,34 @@ def pack(pieces: DataFrame, size: int, scratch: Scratch, items_per_task: int = 2
                 first = f["members"].map(lambda m: (m[0]["doc_id"], m[0]["piece"]))
                 f = f.assign(doc=first.str[0], piece=first.str[1]).sort_values(["total", "doc", "piece"], ascending=[False, True, True], kind="stable")
                 lengths, members = f["total"].to_numpy(), f["members"].tolist()
-                least = int(lengths.min()) if len(lengths) else 0
                 rows = []
                 for k, bin_ in enumerate(best_fit(lengths, size)):
-                    total = int(lengths[bin_].sum())
-                    done = last or total >= nearly_full * size or total + least > size
-                    rows.append(((level << 56) | (int(p) << 32) | k, done, total, [m for i in bin_ for m in members[i]]))
-                yield pd.DataFrame(rows, columns=["sequence_id", "done", "total", "members"])
+                    inside, at = [], 0
+                    for i in bin_:
+                        inside += [(m["doc_id"], m["piece"], m["offset"] + at) for m in members[i]]
+                        at += int(lengths[i])
+                    rows.append(((level << 56) | (int(p) << 32) | k, at, inside))
+                yield pd.DataFrame(rows, columns=["sequence_id", "total", "members"])
 
         made = scratch.table(dealt.mapInPandas(run, schema), f"round{level}")
-        full = made.filter("done").select("sequence_id", "members")
+        least = None if parts == 1 else made.filter(F.col("total") < nearly_full * size).agg(F.min("total")).first()[0]
+        if least is None:
+            goes_on = F.lit(False)
+        else:
+            goes_on = (F.col("total") < nearly_full * size) & (F.col("total") + least <= size)
+            small = made.filter(goes_on & (2 * F.col("total") <= size)).count()
+            if small_before is not None and 2 * small > small_before:
+                goes_on = goes_on & (2 * F.col("total") <= size)
+            small_before = small
+        full = made.filter(~goes_on).select("sequence_id", "members")
         out = full if out is None else out.unionByName(full)
-        if last:
+        items = made.filter(goes_on).select("members", "total")
+        n, n_members = (0, 0) if least is None else items.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+        if not n:
             break
-        items = made.filter("not done").select("members", "total")
-        level, parts = level + 1, max(1, -(-parts // fan_in))
-    rows = out.select("sequence_id", F.posexplode("members").alias("at", "m"), "members")
-    before = F.aggregate(F.slice("members", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda acc, m: acc + m["length"])
-    return rows.select("sequence_id", F.col("m.doc_id").alias("doc_id"), F.col("m.piece").alias("piece"), before.alias("offset"))
+        level += 1
+    rows = out.select("sequence_id", F.explode("members").alias("m"))
+    return rows.select("sequence_id", F.col("m.doc_id").alias("doc_id"), F.col("m.piece").alias("piece"), F.col("m.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0) -> DataFrame:

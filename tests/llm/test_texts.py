@@ -246,6 +246,41 @@ def test_decontaminate(spark):
         assert (r.n_words, r.n_hit, r.n_items, list(r["items"]), r.contaminated) == (len(words), len(hit), len(found), sorted(found), bool(hit) and 20 * len(hit) >= len(words)), d
 
 
+def brute_hits(items, docs):
+    windows, out = {}, {}
+    for i, t in items:
+        words = item_words(t)
+        n = min(13, len(words))
+        if i is not None and words:
+            windows.setdefault(str(i), set()).update(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
+    for d, t in docs:
+        words, hit, found = item_words(t), set(), set()
+        for i, ws in windows.items():
+            for w in ws:
+                for k in range(len(words) - len(w) + 1):
+                    if tuple(words[k : k + len(w)]) == w:
+                        hit |= set(range(k, k + len(w)))
+                        found.add(i)
+        out[d] = (len(words), len(hit), sorted(found))
+    return out
+
+
+def test_decontaminate_templates_and_words(spark):
+    """Many items of one template, of the same text, and of one word that is everywhere."""
+    rng = random.Random(16)
+    template = "what is the name of the old town that lies on the river {} in the land of {} today"
+    items = [(i, template.format(f"r{i % 40}", f"l{i % 30}")) for i in range(300)]
+    items += [(1000 + i, "the") for i in range(50)] + [(2000 + i, "the same text in every item") for i in range(50)] + [(3000, "the the the the"), (3001, "of the")]
+    docs = [(d, " ".join(rng.choices(["the", "of", "a", "town", "r1"], k=rng.randint(0, 40)))) for d in range(20)]
+    docs += [(100 + i, f"so {template.format(f'r{i}', f'l{i}')} and more, the same text in every item") for i in range(20)] + [(200, None), (201, "The"), (202, template.format("rx", "lx"))]
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_hits(items, docs)
+
+
+def test_decontaminate_empty_documents(spark):
+    assert decontaminate(frame(spark, []), spark.createDataFrame([(1, "a b")], "item_id long, text string")).collect() == []
+
+
 def test_decontaminate_against_nothing(spark):
     rows = decontaminate(frame(spark, [(1, "a b"), (2, None)]), spark.createDataFrame([], "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in rows) == [(1, 2, 0, False), (2, 0, 0, False)]
@@ -292,7 +327,7 @@ def test_packing_rounds(spark):
 
     rng = random.Random(8)
     rows = [(i, 0, rng.randint(1, 90)) for i in range(2000)]
-    out = pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), 100, Scratch(spark, "test"), items_per_task=100, fan_in=4)
+    out = pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), 100, Scratch(spark, "test"), items_per_task=100)
     assert out.count() == out.select("doc_id").distinct().count() == 2000
     n = out.select("sequence_id").distinct().count()
     assert n <= len(best_fit(np.array([r[2] for r in rows]), 100)) * 1.05
@@ -300,6 +335,41 @@ def test_packing_rounds(spark):
     assert both.filter("s != e or s > 100").isEmpty()
 
 
+def pack_rows(spark, lengths, size, items_per_task):
+    from sparklode.llm.common import Scratch
+    from sparklode.llm.packing import pack
+
+    scratch = Scratch(spark, "test")
+    frame = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    got = {}
+    for r in pack(frame, size, scratch, items_per_task=items_per_task).collect():
+        got.setdefault(r.sequence_id, []).append((r.offset, lengths[r.doc_id], r.doc_id))
+    assert sorted(d for b in got.values() for _, _, d in b) == list(range(len(lengths)))
+    for b in got.values():
+        at = 0
+        for offset, n, _ in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= size
+    return got
+
+
+@pytest.mark.parametrize(
+    "lengths, most",
+    [
+        ([1500] * 3000 + [1] * 30, 3000),  # nothing joins but the shortest
+        ([1] * 3000, 2),  # empty texts only
+        ([1030] * 500 + [1000] * 500, 530),
+        ([700] * 900, 450),
+        ([2047] * 300 + [2] * 300, 301),
+        ([], 0),
+    ],
+)
+def test_packing_rounds_are_bounded(spark, lengths, most):
+    """However little joins, no task takes more than its share of items."""
+    assert len(pack_rows(spark, lengths, 2048, 100)) <= most
+
+
 def test_restoring():
     text = ("the idiot was a stupid loser and a moron, the trash of pathetic clowns is worthless to all ordinary readers of the text " * 50)
     counts = np.zeros(28**3, np.int64)
