@@ -1,9 +1,9 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
-A logistic classifier on a document's own form gives its evidence. Hosts and paths add what is known of a document's
-neighbours: their mean probability, shrunk to the level above by a strength that the spread between sites
-themselves gives (moments of grouped sums). A site's posterior takes the place of the global prior in a
-document's odds, so sparse sites change little.
+A logistic classifier on a document's own form gives its evidence. Hosts and paths add what is known of the other documents
+there: their labels, and where they have none their evidence, shrunk to the level above by a strength that the
+spread between sites itself gives (moments of grouped sums). A document takes no part in its own site's posterior.
+How far a site's log-odds count beside the evidence is fitted on the labelled rows.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ TRAIN_ROWS = 20_000
 #: Sites up to which their posteriors are broadcast; more are joined by shuffle.
 BROADCAST_SITES = 100_000
 
-#: Most that a site's posterior may move a document's log-odds.
-MOST_SHIFT = 1.5
-
 FEATURES = ["log_words", "word_length", "symbols", "capitals", "digits", "repeated_lines", "short_lines", "distinct_words", "ends_stop", "repeated_words", "spaces"]
 
 _SYMBOL, _UPPER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -118,7 +115,8 @@ def score_quality(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     x = scratch.table(x.join(sites, "doc_id"), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).filter("y = y1").select("doc_id", "y")
-    sample = x.join(smallest_hashes(marks.join(x.select("doc_id"), "doc_id"), "doc_id", train_rows), "doc_id").select("x", "y").collect()
+    chosen = scratch.table(smallest_hashes(marks.join(x.select("doc_id"), "doc_id"), "doc_id", train_rows), "chosen")
+    sample = x.join(chosen, "doc_id").select("x", "y").collect()
     y = np.array([r["y"] for r in sample], float)
     w = fit(np.array([r["x"] for r in sample], float), y) if 0 < y.sum() < len(y) else None
     if w is None:
@@ -128,21 +126,27 @@ def score_quality(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
         for i, c in enumerate(w[:-1]):
             logit = logit + F.lit(float(c)) * F.col("x")[i]
         p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
-    scored = x.select("doc_id", "host", "path", p.alias("p"))
-    paths = scratch.table(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("s2")), "paths")
+    # what a document says for its site: its label if it has one
+    scored = x.select("doc_id", "host", "path", p.alias("p")).join(marks, "doc_id", "left").withColumn("v", F.coalesce(F.col("y").cast("double"), F.col("p"))).drop("y")
+    paths = scratch.table(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("s2")), "paths")
     total = paths.agg(F.sum("s") / F.sum("n"), F.count("*")).first()
     m = min(0.999, max(0.001, total[0] if total[0] is not None else 0.5))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")).withColumn("m", F.lit(m))
-    k = _strength(hosts, "m")
-    hosts = hosts.select("host", ((F.col("s") + k * m) / (F.col("n") + k)).alias("h"))
+    k_host = _strength(hosts, "m")
+    hosts = hosts.select("host", F.col("n").alias("n_host"), F.col("s").alias("s_host"))
     paths = paths.join(hosts, "host")
-    k = _strength(paths, "h")
-    paths = paths.select("host", "path", ((F.col("s") + k * F.col("h")) / (F.col("n") + k)).alias("site"))
+    k_path = _strength(paths.withColumn("h", (F.col("s_host") + k_host * m) / (F.col("n_host") + k_host)), "h")
     small = F.broadcast if total[1] <= BROADCAST_SITES else (lambda df: df)
-    joined = scored.join(small(paths), ["host", "path"])
-    bound = lambda c: F.least(F.lit(0.999), F.greatest(F.lit(0.001), c))
-    shift = F.log(bound(F.col("site")) / (1 - bound(F.col("site")))) - float(np.log(m / (1 - m)))
-    shift = F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), shift))
-    sure = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("p")))
-    score = 1 / (1 + F.exp(-(F.log(sure / (1 - sure)) + shift)))
-    return joined.select("doc_id", "host", "path", F.col("p").alias("evidence"), "site", score.alias("score")).withColumn("keep", F.col("score") >= (0.5 if w is not None else 0.0))
+    above = (F.col("s_host") - F.col("v") + k_host * m) / (F.col("n_host") - 1 + k_host)
+    site = (F.col("s") - F.col("v") + k_path * above) / (F.col("n") - 1 + k_path)
+    bound = lambda c, least: F.least(F.lit(1 - least), F.greatest(F.lit(least), c))
+    odds = lambda c: F.log(c / (1 - c))
+    joined = scored.join(small(paths.drop("s2")), ["host", "path"]).withColumn("site", bound(site, 0.001))
+    joined = joined.select("doc_id", "host", "path", "p", "site", odds(bound(F.col("p"), 1e-12)).alias("own"), (odds(F.col("site")) - float(np.log(m / (1 - m)))).alias("shift"))
+    if w is None:
+        score = F.lit(0.5)
+    else:
+        seen = joined.join(chosen, "doc_id").select("own", "shift", "y").collect()
+        a, b, c = fit(np.array([[r["own"], r["shift"]] for r in seen], float), np.array([r["y"] for r in seen], float)).tolist()
+        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.col("own") + b * F.col("shift") + c))))
+    return joined.select("doc_id", "host", "path", F.col("p").alias("evidence"), "site", score.alias("score")).withColumn("keep", F.col("score") >= 0.5)
