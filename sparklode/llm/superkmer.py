@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklode.llm.common import BYTE_VALUES, SPACE_TABLE, Roller, Scratch, chunks, digests, first_min, word_bounds
+from sparklode.llm.common import BYTE_VALUES, SPACE_TABLE, Roller, Scratch, chunks, digests, first_min, mix64, quick_digests, word_bounds
 
 #: How a mark's number holds a segment: start << SHIFT | windows.
 SHIFT = 8
@@ -55,9 +55,9 @@ class Symbols:
 
     def digests(self, lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
         """Digests of the symbols from lo to before hi."""
-        if self.starts is not None:
-            lo, hi = self.starts[lo], self.ends[hi - 1]
-        return digests(self.raw, lo, hi, size)
+        if self.starts is None:
+            return quick_digests(self.raw, lo, hi, size)
+        return digests(self.raw, self.starts[lo], self.ends[hi - 1], size)
 
 
 class Cutter:
@@ -93,7 +93,7 @@ class Cutter:
         order = np.cumsum(begins)[inside]
         width = np.bincount(order, minlength=len(starts) + 1)[1:]
         doc = np.searchsorted(s.first, starts, "right") - 1
-        return doc, starts - s.first[doc], width, kmers[at[starts]]
+        return doc, starts - s.first[doc], width, mix64(kmers[at[starts]])
 
 
 def utf8(column: pa.Array) -> list[bytes]:
