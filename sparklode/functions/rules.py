@@ -258,3 +258,34 @@ EXCLUDED_FOLDERS = (
     "dist", "build", "out", "static", "assets", "images", "img", "fonts", "icons", "media", "audio", "video",
 )
 SCANNED_EXTENSIONS = ("js", "json", "wxml", "wxs", "wxss", "html")
+
+# --- fixed values: what may be kept of scripts that do not parse; the first kind whose pattern is the whole value -------
+
+FALLBACK_RULES = (
+    ("url", r"""(?i:(?:https?|wss?|ftp|cloud|cos|oss|s3|plugin|plugin-private)://)[^\s"'<>\\^`{}|]+"""),
+    ("abs_path", r"/(?!/)[A-Za-z0-9._~%@+\-]+(?:/[A-Za-z0-9._~%@+\-]*)*(?:\?[A-Za-z0-9._~%@+\-=&/,:;]*)?"),
+    ("rel_path", r"\.\.?/[A-Za-z0-9._~%@+\-]+(?:/[A-Za-z0-9._~%@+\-]*)*(?:\?[A-Za-z0-9._~%@+\-=&/,:;]*)?"),
+    ("bare_path", r"[A-Za-z0-9_@][A-Za-z0-9._~%@+\-]*(?:/[A-Za-z0-9._~%@+\-]+)+/?(?:\?[A-Za-z0-9._~%@+\-=&/,:;]*)?"),
+    ("wx_appid", r"wx[0-9a-f]{16}"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}"),
+    ("cloud_ak", r"(?:LTAI|AKID|AKIA|ASIA|ABIA|ACCA)[A-Za-z0-9]{12,40}"),
+    ("token_prefix", r"(?:ghp_|gho_|ghu_|ghs_|ghr_|glpat-|xox[bpar]-|sk_live_|sk_test_|rk_live_|pk_live_|SG\.)[A-Za-z0-9_.\-]{16,}"),
+    ("auth_header", r"(?:Bearer|Basic) [A-Za-z0-9+/=._\-]{10,}"),
+    ("google_key", r"AIza[0-9A-Za-z_\-]{35}"),
+    ("tmap_key", r"[A-Z0-9]{5}(?:-[A-Z0-9]{5}){5}"),
+    ("pem", r"-----BEGIN [A-Z ]+-----[\s\S]*"),
+    ("der_key_b64", r"MI[IG][A-Za-z0-9+/]{60,}={0,2}"),
+    ("hex_secret", r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}"),
+    ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
+    ("ipv4", r"(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?"),
+    ("cn_mobile", r"1[3-9]\d{9}"),
+    ("cn_id18", r"\d{17}[\dXx]"),
+)
+#: Kinds that are paths (they need a letter, and no part in a third-party folder), and kinds that need eight different characters.
+FALLBACK_PATHS = ("abs_path", "rel_path", "bare_path")
+FALLBACK_VARIED, FALLBACK_LEAST_VARIED = ("der_key_b64", "hex_secret"), 8
+FALLBACK_LEAST_LENGTH = 4
+THIRD_PARTY_FOLDERS = ("@babel", "miniprogram_npm", "node_modules")
+STYLE_SCRIPT, STYLE_SCRIPT_ENDS = "app-wxss.js", ("-wxss.js", ".wxss.js")
+#: Longest line that is its own statement, and the characters kept on each side of a value in a longer one.
+MOST_LINE, LINE_AROUND = 512, 200

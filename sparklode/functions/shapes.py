@@ -281,3 +281,21 @@ def algorithm(text: Column) -> Column:
     """weak, strong or null."""
     names = sorted({a.replace("-", "") for a in R.ALGORITHM_WHITELIST_LOWER})
     return F.when(F.replace(F.lower(text), F.lit("-"), F.lit("")).isin(*names), F.when(starts_with(F.lower(text), R.WEAK_ALGORITHMS), "weak").otherwise("strong"))
+
+
+def fallback_kind(value: Column) -> Column:
+    """The first of the ordered kinds whose pattern a value is as a whole; null for none, and for paths of third-party folders."""
+    v = F.regexp_replace(value, r"(?U)\A\s+|\s+\z", "")
+    third = F.arrays_overlap(F.split(F.substring_index(v, "?", 1), "/"), F.array(*[F.lit(f) for f in R.THIRD_PARTY_FOLDERS]))
+    none = F.lit(None).cast("string")
+    out = F.when(F.length(v) < R.FALLBACK_LEAST_LENGTH, none)
+    for kind, pattern in R.FALLBACK_RULES:
+        hit = v.rlike(rf"(?U)\A(?:{pattern})\z")
+        if kind != "pem":
+            hit = hit & ~v.rlike(r"[\r\n]")
+        if kind in R.FALLBACK_PATHS:
+            hit = hit & v.rlike("[A-Za-z]")
+        if kind in R.FALLBACK_VARIED:
+            hit = hit & (unique_chars(v) >= R.FALLBACK_LEAST_VARIED)
+        out = out.when(hit, F.when(third, none).otherwise(kind) if kind in R.FALLBACK_PATHS else F.lit(kind))
+    return out.otherwise(none)

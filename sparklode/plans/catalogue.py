@@ -5,6 +5,7 @@ The tables hold prose and keys, so values that mining meets are derived from key
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -303,6 +304,117 @@ def js_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_files(table(spark, sf_dir, "part"), "p_partkey", content, "js")).filter("value is not null").select("file", "value", "stmt")
 
 
+@query(
+    """WITH p AS (SELECT p_partkey::VARCHAR AS k, md5(p_partkey::VARCHAR) AS m FROM part)
+SELECT k AS file, 'js-regex' AS src, unnest(['https://h' || k || '.acme.cn/a', '/api/v1/' || k, m, 'plain words ' || k]) AS value FROM p UNION ALL SELECT k, 'js-ast', 'words of ' || k FROM p"""
+)
+def js_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script with a comment that nothing ends: what the scan reads before it, and what patterns find besides, named or of a known kind."""
+    k = F.col("p_partkey").cast("string")
+    content = F.concat(
+        F.lit("var first = 'words of "), k, F.lit("';\nvar late /* is open\n, late = \"plain words "), k, F.lit('";\nfunction f(x) {\n  y("https:\\/\\/h'), k, F.lit(".acme.cn/a\", '/api/v1/"), k, F.lit("', `"), F.md5(k.cast("binary")),
+        F.lit("`, 'no kind at all', { key: \"nor this one\" })\n"),
+    )
+    return extract(_files(table(spark, sf_dir, "part"), "p_partkey", content, "js")).filter("value is not null").select("file", "src", "value").distinct()
+
+
+_FALLBACK_FORMS = (
+    "'https://h' || k || '.acme.cn/a?b=' || m", "'/api/v' || k || '/list?x=1&y=2'", "'./img/' || k || '.png'", "'pages/a' || k || '/index'", "'/0/' || k", "'lib/node_modules/x' || k", "'wx' || substr(m, 1, 16)",
+    "'eyJ' || m || '.' || m || '.' || m", "'AKID' || m", "'ghp_' || m", "'Bearer ' || m", "'AIza' || m || 'abc'", "'ABCDE-12345-ABCDE-12345-ABCDE-1' || substr(upper(m), 1, 4)", "'-----BEGIN KEY-----' || chr(10) || m",
+    "'MIG' || m || m || '=='", "m", "'00000000000000000000000000000000'", "'a' || k || '@b.cn'", "'10.0.' || (o_orderkey % 256) || '.7:8080'", "'138' || lpad((o_orderkey % 100000000)::VARCHAR, 8, '0')",
+    "'1101011990' || lpad((o_orderkey % 10000000)::VARCHAR, 7, '0') || 'X'", "'two words ' || k", "m || chr(10)", "'line' || chr(10) || '/a/b'", "'abc'",
+)
+
+
+def _fallback_sql() -> str:
+    cases = []
+    for kind, pattern in R.FALLBACK_RULES:
+        hit = f"regexp_full_match(v, '{pattern.replace('(?!/)', '').replace(chr(39), chr(39) * 2)}')"
+        if kind != "pem":
+            hit += " AND NOT regexp_matches(v, '[\\r\\n]')"
+        if kind in R.FALLBACK_PATHS:
+            hit += " AND regexp_matches(v, '[A-Za-z]')"
+        if kind in R.FALLBACK_VARIED:
+            hit += f" AND len(list_distinct(string_split(v, ''))) >= {R.FALLBACK_LEAST_VARIED}"
+        result = f"CASE WHEN list_has_any(string_split(split_part(v, '?', 1), '/'), [{_list(R.THIRD_PARTY_FOLDERS)}]) THEN NULL ELSE '{kind}' END" if kind in R.FALLBACK_PATHS else f"'{kind}'"
+        cases.append(f"WHEN {hit} THEN {result}")
+    values = " UNION ALL ".join(f"SELECT {form} AS value FROM o" for form in _FALLBACK_FORMS)
+    return f"""WITH o AS (SELECT o_orderkey, o_orderkey::VARCHAR AS k, md5(o_orderkey::VARCHAR) AS m FROM orders), {WORDS},
+a AS ({values} UNION ALL SELECT url FROM pages WHERE url IS NOT NULL UNION ALL SELECT w FROM w), t AS (SELECT value, regexp_replace(regexp_replace(value, '^[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\pZ]+', ''), '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\pZ]+$', '') AS v FROM a),
+k AS (SELECT value, CASE WHEN length(v) < {R.FALLBACK_LEAST_LENGTH} THEN NULL {" ".join(cases)} END AS kind FROM t)
+SELECT coalesce(kind, 'none') AS kind, count(*) AS n, min(value) AS smallest, max(value) AS largest FROM k GROUP BY 1"""
+
+
+def fallback_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of values made from order keys, of urls and of the documents' words."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(o_orderkey as string) as k", "md5(cast(cast(o_orderkey as string) as binary)) as m")
+    forms = [F.expr(re.sub(r"\((o_orderkey[^()]*)\)::VARCHAR|\((o_orderkey[^()]*)\)", r"cast((\1\2) as string)", form)) for form in _FALLBACK_FORMS]
+    values = o.select(F.explode(F.array(*forms)).alias("value")).unionByName(table(spark, sf_dir, "pages").select(F.col("url").alias("value")).filter("value is not null"))
+    values = values.unionByName(words(spark, sf_dir).select(F.col("w").alias("value")))
+    kind = F.coalesce(S.fallback_kind(F.col("value")), F.lit("none"))
+    return values.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min("value").alias("smallest"), F.max("value").alias("largest"))
+
+
+def _page_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name, brand = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand")
+    content = F.concat(
+        F.lit("<!doctype html><body><div title='"), brand, F.lit("' data-x='{{bound}}'><p>"), name, F.lit(" &amp; more<br>after "), k, F.lit("</p>{{ bound }}</div><script>// 'comment'\nvar a = \""), F.col("p_type"),
+        F.lit("\", b = 'it\\'s "), k, F.lit("';\n/* \"gone away\" */ c = `left ${f('inner text')} right"), k, F.lit("`;\n</script><style>p{content:'nothing'}</style></body>"),
+    )
+    return extract(_files(table(spark, sf_dir, "part"), "p_partkey", content, "html")).filter("value is not null")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey::VARCHAR AS k, p_type AS t FROM part), l AS (SELECT k, 'var a = "' || t || '", b = ' || chr(39) || 'it' || chr(92) || chr(39) || 's ' || k || chr(39) || ';' AS one, '/* "gone away" */ c = `left ${f(' || chr(39) || 'inner text' || chr(39) || ')} right' || k || '`;' AS two, t FROM p),
+v AS (SELECT k AS file, unnest([t, 'it' || chr(39) || 's ' || k, 'left', 'right' || k]) AS value, unnest([one, one, two, two]) AS stmt FROM l)
+SELECT file, value, stmt FROM v WHERE length(value) > 4"""
+)
+def html_script_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_of(spark, sf_dir).filter("src = 'html-script'").select("file", "value", "stmt")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey::VARCHAR AS k, p_name AS n FROM part), v AS (SELECT k AS file, unnest([n || ' & more', 'after ' || k]) AS value, unnest(['<p>' || n || ' & more</p>', '<br>after ' || k || '</br>']) AS stmt FROM p)
+SELECT file, value, stmt FROM v WHERE length(value) > 4"""
+)
+def html_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_of(spark, sf_dir).filter("src = 'html-text'").select("file", "value", "stmt")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_partkey::VARCHAR AS k, p_name AS n, p_brand AS b FROM part),
+v AS (SELECT k AS file, unnest(['wxml-attr', 'wxml-attr', 'wxml-text', 'wxml-attr']) AS src, unnest([b, 'onTap' || k, n || ' & co', '/img/' || k || '.png']) AS value,
+  unnest(['<view data-b="' || b || '">', '<text bind:tap="onTap' || k || '">', '<text>' || n || ' & co</text>', '<image src="/img/' || k || '.png">']) AS stmt FROM p
+  UNION ALL SELECT k, 'wxml-text', 'tail ' || k || ' text', CASE WHEN p_partkey % 3 = 2 THEN '<view>tail ' || k || ' text</view>' END FROM p WHERE p_partkey % 3 = 2)
+SELECT file, src, value, stmt FROM v WHERE length(value) > 4"""
+)
+def wxml_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup with bindings, bare ampersands and attributes without a value: one root, several, and (each third) not well formed,
+    where text after a child is read too."""
+    k, r = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    view = F.concat(
+        F.lit("<view wx:if=\"{{a < b && c}}\" data-b=\""), F.col("p_brand"), F.lit("\" hidden>{{ x > y }}<text bind:tap='onTap"), k, F.lit("'>"), F.col("p_name"), F.lit(" & co</text> tail "), k, F.lit(" text <image src='/img/"),
+        k, F.lit(".png'/>"),
+    )
+    content = F.concat(F.lit("<!-- \"none\" -->\n"), view, F.lit("</view>"), F.when(r == 1, "<view/>").when(r == 2, "</block><a:b>").otherwise(""))
+    return extract(_files(table(spark, sf_dir, "part"), "p_partkey", content, "wxml")).filter("value is not null").select("file", "src", "value", "stmt")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_partkey::VARCHAR AS k, p_name AS n, md5(p_partkey::VARCHAR) AS m FROM part),
+v AS (SELECT k AS file, unnest([n, 'tail' || k]) AS value, unnest(['name: "' || n || '"', 'b = `${x}tail' || k || '`']) AS stmt FROM p WHERE p_partkey % 2 = 0 UNION ALL SELECT k, m, 'hash: "' || m || '"' FROM p WHERE p_partkey % 2 = 0
+UNION ALL SELECT k, m, 'var a = { name: "' || n || '", hash: "' || m || '" }, b = `${x}tail' || k || '`; it' || chr(39) || 's' FROM p WHERE p_partkey % 2 = 1)
+SELECT file, value, stmt FROM v WHERE length(value) > 4"""
+)
+def wxs_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View scripts; every other one doesn't parse, and keeps only values of a known kind with their lines."""
+    k = F.col("p_partkey").cast("string")
+    content = F.concat(F.lit('var a = { name: "'), F.col("p_name"), F.lit('", hash: "'), F.md5(k.cast("binary")), F.lit('" }, b = `${x}tail'), k, F.lit("`;"), F.when(F.col("p_partkey") % 2 == 1, " it's").otherwise(""))
+    found = extract(_files(table(spark, sf_dir, "part"), "p_partkey", content, "wxs")).filter("value is not null")
+    # of a broken script the pattern for named literals gives a second statement for the same value
+    return found.filter("stmt not like 'hash:%' or cast(file as int) % 2 = 0").select("file", "value", "stmt")
+
+
 # --- the noise filter -----------------------------------------------------------------------------------------
 
 
@@ -314,6 +426,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = "w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n]+')) AS w FROM documents) WHERE w <> '')"
 
 
+query(_fallback_sql())(fallback_kind)
+
+
 @query(f"WITH {WORDS} SELECT count(*) AS n, count(*) FILTER (length(w) > 4) AS over_4, count(*) FILTER (length(w) > 6) AS over_6, max(length(w)) AS longest FROM w")
 def length_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("w")

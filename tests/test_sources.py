@@ -4,10 +4,13 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sparklode.functions import rules as R
+from sparklode.functions.shapes import fallback_kind as fallback_column
 from sparklode.operators import store as D
 from sparklode.plans.pipeline import findings_of, scan
-from sparklode.sources.extract import constants_of, unescape
+from sparklode.sources.extract import constants_of, fallback_kind, is_style_script, unescape
 from sparklode.sources.files import read_interchange, scan_tree
 from sparklode.streaming.scan import read_items, start_scan
 
@@ -42,6 +45,43 @@ def test_lexers(ext, text, wanted):
     assert values(text, ext)[0] == wanted
 
 
+def tagged(text, ext, file=""):
+    return {(r[0], r[2]) for r in constants_of(text, ext, file=file)[0]}
+
+
+def test_broken_scripts():
+    text = "var a = 'words one';\nvar b /* no end\n, c = 'words two', d = { k: 'words three' };\nfunction f() { g('words four', '/api/four', '/node_modules/x', \"http:\\u002F\\u002Fh.cn/p\") }"
+    assert tagged(text, "js") == {("words one", "js-ast"), ("words two", "js-regex"), ("words three", "js-regex"), ("/api/four", "js-regex"), ("http://h.cn/p", "js-regex")}
+    # a style script keeps named literals only; a view script nothing but known kinds
+    assert tagged(text, "js", "app1/app-wxss.js") == {("words one", "js-ast"), ("words two", "js-regex"), ("words three", "js-regex")}
+    assert tagged(text, "wxs") == {("/api/four", "wxs"), ("http://h.cn/p", "wxs")}
+    assert tagged("f(`a ${ {x: 'inner one'} } tail part`)", "js") == {("inner one", "js-ast"), (" tail part", "js-ast")}
+    assert is_style_script("a\\b\\X.WXSS.js") and is_style_script("p/x-wxss.js") and not is_style_script("p/wxss.js")
+
+
+def test_long_lines_keep_what_is_near():
+    text = "x " * 2000 + "g('/api/one/two') /* open" + " y" * 2000
+    assert all(len(r[3]) <= R.MOST_LINE for r in constants_of("/* open " + text, "js")[0])
+    rows = {r[2]: r[3] for r in constants_of(text + "'", "js")[0]}
+    assert "/api/one/two" in rows["js-ast"]
+
+
+@pytest.mark.parametrize("value, kind", [
+    ("https://a.cn/x", "url"), ("HTTP://a", "url"), ("http://", None), ("//a/b", None), ("/a", None), ("/a/b", "abs_path"), ("/1/2", None), ("./a/b", "rel_path"), ("a/b", None), ("aa/b", "bare_path"), ("/x/@babel/y", None),
+    ("/x/y?@babel/", "abs_path"), ("12345678901234567X", "cn_id18"), ("13800000000", "cn_mobile"), ("0" * 32, None), ("0123456789abcdef" * 2, "hex_secret"), ("a@b.c", "email"), ("1.2.3.4:80", "ipv4"), ("  /a/b ", "abs_path"), ("/a\n/b", None),
+])
+def test_fallback_kinds(spark, value, kind):
+    assert fallback_kind(value) == kind
+    assert spark.createDataFrame([(value,)], "v string").select(fallback_column(F.col("v"))).first()[0] == kind
+
+
+def test_view_markup():
+    rows = constants_of('<view a:b="value one" hidden>first text<i>inner text</i>tail text</view><view b="value two">{{a<b}}</view>', "wxml")[0]
+    assert {(r[0], r[3]) for r in rows} == {("value one", '<view a:b="value one">'), ("first text", "<view>first text</view>"), ("inner text", "<i>inner text</i>"), ("value two", '<view b="value two">')}
+    rows = constants_of("<view a='value one'>first text<i>inner text</view>tail text", "wxml")[0]
+    assert {(r[0], r[3]) for r in rows} == {("value one", '<view a="value one">'), ("first text", "<view>first text</view>"), ("inner text", "<i>inner text</i>"), ("tail text", "<>tail text</>")}
+
+
 def test_lexer_status():
     assert values("", "js") == (set(), "empty")
     assert values("x" * (R.MOST_HTML_BYTES + 1), "html") == (set(), "skipped_too_large")
