@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +11,11 @@ from sparklode.plans.taxonomy import type_dimension
 
 def cap_bytes(text: Column, most: int = R.MOST_TEXT_BYTES) -> Column:
     """The longest prefix of whole characters in that many UTF-8 bytes."""
-
-    @F.pandas_udf("string")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None else t.encode("utf-8")[:most].decode("utf-8", "ignore"))
-
-    return F.when(F.octet_length(text) <= most, text).otherwise(cut(text))
+    data = text.cast("binary")
+    # the cut bytes in hexadecimal; a character's first byte says how long it is, so a torn one shows in its first byte's place from the end
+    digits = F.hex(F.substring(data, 1, most))
+    tail = F.when(digits.rlike("[CDEF].\\z"), 1).when(digits.rlike("[EF].[89AB].\\z"), 2).when(digits.rlike("F.[89AB].[89AB].\\z"), 3).otherwise(0)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(data, F.lit(1), F.lit(most) - tail).cast("string"))
 
 
 def with_types(findings: DataFrame, spark: SparkSession) -> DataFrame:
@@ -40,7 +38,7 @@ def items_of(findings: DataFrame) -> DataFrame:
 
 def occurrences_of(findings: DataFrame) -> DataFrame:
     """A row for each finding: appid, hash_sha256, source_file, detector_source, source_snippet."""
-    return findings.select(F.col("pkg").alias("appid"), F.sha2("value", 256).alias("hash_sha256"), F.col("file").alias("source_file"), F.col("src").alias("detector_source"), F.substring("context", 1, R.MOST_TEXT_BYTES).alias("source_snippet"))
+    return findings.select(F.col("pkg").alias("appid"), F.sha2("value", 256).alias("hash_sha256"), F.col("file").alias("source_file"), F.col("src").alias("detector_source"), cap_bytes(F.col("context")).alias("source_snippet"))
 
 
 def merge_items(old: DataFrame, new: DataFrame) -> DataFrame:

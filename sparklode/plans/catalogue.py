@@ -6,6 +6,7 @@ The tables hold prose and keys, so values that mining meets are derived from key
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ from sparklode.operators import store as D
 from sparklode.plans.pipeline import findings_of
 from sparklode.plans.taxonomy import CATEGORIES, TYPES, expand_groups, type_dimension
 from sparklode.sources.extract import extract
+from sparklode.sources.files import shared_folder
+from sparklode.streaming.scan import read_items, start_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -555,6 +558,24 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(done, "doc_id", "left_anti").select("doc_id", "source")
 
 
+@query(
+    f"""WITH {TYPE_TABLE}, v AS (SELECT o_orderkey, md5((o_orderkey % 100)::VARCHAR) || substr(md5('x' || (o_orderkey % 100)::VARCHAR), 1, 8) AS token, 'https://api' || (o_orderkey % 40) || '.acme.cn/oauth/login' AS url FROM orders),
+u AS (SELECT token AS value, 'server_cred_token' AS slug FROM v UNION ALL SELECT url, 'server_url_auth' FROM v)
+SELECT sha256(value) AS hash_sha256, any_value(type_id) AS type_id, value AS raw_value, count(*) - 1 AS ref_count FROM u JOIN types USING (slug) GROUP BY value"""
+)
+def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script from every order, read as a stream in several batches into a store, whose items come back merged."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    k, t = F.col("o_orderkey"), (F.col("o_orderkey") % 100).cast("string")
+    token = F.concat(F.md5(t.cast("binary")), F.substring(F.md5(F.concat(F.lit("x"), t).cast("binary")), 1, 8))
+    content = F.concat(F.lit('var token = "'), token, F.lit('", url = "https://api'), (k % 40).cast("string"), F.lit('.acme.cn/oauth/login";'))
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("app"), (k % 20).cast("string")).alias("pkg"), F.concat(k.cast("string"), F.lit(".js")).alias("file"), F.lit("js").alias("ext"), content.alias("content"))
+    files.repartition(4).write.parquet(f"{base}/files")
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/files")
+    start_stream(stream, f"{base}/store").awaitTermination()
+    return read_items(spark, f"{base}/store")
+
+
 _STATUS = "CASE event_id % 11 WHEN 3 THEN 'aborted' WHEN 5 THEN 'timeout' WHEN 7 THEN 'error:commit_failed' WHEN 8 THEN 'empty' ELSE 'ok' END"
 _RESULTS = f"e AS (SELECT 'p' || (user_id % 40) AS pkg, event_type AS rel_path, event_id AS seq, {_STATUS} AS status FROM events)"
 _MERGED = f"m AS (SELECT pkg, rel_path, coalesce(arg_min(status, seq) FILTER (status IN ({_list(R.INFRA_STATUSES)})), arg_min(status, seq)) AS status FROM e GROUP BY 1, 2)"

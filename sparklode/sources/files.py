@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,22 @@ def scan_tree(spark: SparkSession, root: str, done: DataFrame | None = None) ->
     return _described(df, root, done)
 
 
-def stream_tree(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
+def stream_tree(spark: SparkSession, root: str, files_per_batch: int = 1000, done: DataFrame | None = None) -> DataFrame:
     """The same as a stream of files."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     df = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(R.SCANNED_EXTENSIONS) + "}").option("maxFilesPerTrigger", files_per_batch).load(root)
-    return _described(df, root, None)
+    return _described(df, root, done)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one in a session of one machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="sparklode-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def _described(df: DataFrame, root: str, done: DataFrame | None) -> DataFrame:

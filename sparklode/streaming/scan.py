@@ -1,4 +1,4 @@
-"""The scan as a stream: a file source whose batches are merged into the store."""
+"""The scan as a stream: a file source whose batches are written to the store, with the ledger of packages that lets a scan go on."""
 
 from __future__ import annotations
 
@@ -6,34 +6,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparklode.operators.store import items_of, occurrences_of
+from sparklode.operators.store import completed_packages, items_of, merge_statuses, occurrences_of
 from sparklode.plans.pipeline import findings_of
 from sparklode.sources.extract import extract
-from sparklode.sources.files import stream_tree
+from sparklode.sources.files import scan_tree, stream_tree
 
+LEDGER = "pkg string, rel_path string, status string, batch int"
+ITEMS = "hash_sha256 string, type_id int, raw_value string, ref_count long, batch int"
+OCCURRENCES = "appid string, hash_sha256 string, source_file string, detector_source string, source_snippet string, batch int"
 
-def start_scan(spark: SparkSession, root: str, store: str, files_per_batch: int = 1000) -> StreamingQuery:
-    """Scans what lies in root and ends (availableNow). Each batch writes its items, occurrences and statuses to a
-    folder of its own number, so a batch that is run again overwrites itself."""
+
+def start_stream(files: DataFrame, store: str, every: str | None = None) -> StreamingQuery:
+    """Scans a stream of files (pkg, file, ext, content). Each batch writes its items, occurrences and statuses to folders of its own
+    number, the statuses last, so a batch that is run again overwrites itself and a file counts as done only when its findings are
+    there. every: a trigger interval such as "2 seconds"; without one the query ends when all that is there has been read."""
+    spark = files.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         constants = extract(batch).persist()
         found = findings_of(constants, spark).persist()
-        tables = {
-            "items": items_of(found),
-            "occurrences": occurrences_of(found),
-            "ledger": constants.filter(F.col("value").isNull()).select("pkg", F.col("file").alias("rel_path"), "status"),
-        }
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
-        found.unpersist()
-        constants.unpersist()
+        try:
+            items_of(found).write.mode("overwrite").parquet(f"{store}/items/batch={number}")
+            occurrences_of(found).write.mode("overwrite").parquet(f"{store}/occurrences/batch={number}")
+            ledger = constants.filter(F.col("value").isNull()).select("pkg", F.col("file").alias("rel_path"), "status")
+            ledger.write.mode("overwrite").parquet(f"{store}/ledger/batch={number}")
+        finally:
+            found.unpersist()
+            constants.unpersist()
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", f"{store}/checkpoint").trigger(**trigger).start()
+
+
+def start_scan(spark: SparkSession, root: str, store: str, files_per_batch: int = 1000, every: str | None = None) -> StreamingQuery:
+    """Scans what lies in root into the store. Packages that the store's ledger has as complete are left out, so
+    a scan also goes on where its checkpoint is gone."""
+    done = None if read_ledger(spark, store).isEmpty() else read_completed(spark, root, store).filter("completed")
+    return start_stream(stream_tree(spark, root, files_per_batch, done), store, every)
+
 
-    return stream_tree(spark, root, files_per_batch).writeStream.foreachBatch(write).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()
+def _read(spark: SparkSession, at: str, schema: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(at)
 
 
 def read_items(spark: SparkSession, store: str) -> DataFrame:
     """The items of all batches, merged: the earliest batch gives type and value."""
-    rows = spark.read.parquet(f"{store}/items")
-    merged = rows.groupBy("hash_sha256").agg(F.min_by("type_id", "batch").alias("type_id"), F.min_by("raw_value", "batch").alias("raw_value"), (F.sum(F.col("ref_count") + 1) - 1).alias("ref_count"))
-    return merged
+    rows = _read(spark, f"{store}/items", ITEMS)
+    return rows.groupBy("hash_sha256").agg(F.min_by("type_id", "batch").alias("type_id"), F.min_by("raw_value", "batch").alias("raw_value"), (F.sum(F.col("ref_count") + 1) - 1).alias("ref_count"))
+
+
+def read_ledger(spark: SparkSession, store: str) -> DataFrame:
+    """pkg, rel_path, status of every file that some batch has finished."""
+    return merge_statuses(_read(spark, f"{store}/ledger", LEDGER).withColumnRenamed("batch", "seq"))
+
+
+def read_completed(spark: SparkSession, root: str, store: str) -> DataFrame:
+    """pkg, completed: whether the ledger has all files of a package that lie in root, none with a status of infrastructure."""
+    dispatched = scan_tree(spark, root).groupBy("pkg").agg(F.count("*").alias("n"))
+    return completed_packages(read_ledger(spark, store), dispatched)

@@ -1,6 +1,7 @@
 """Lexers, file trees, the store, the stream."""
 
 import json
+import shutil
 
 import pytest
 
@@ -12,7 +13,9 @@ from sparklode.operators import store as D
 from sparklode.plans.pipeline import findings_of, scan
 from sparklode.sources.extract import constants_of, fallback_kind, is_style_script, unescape
 from sparklode.sources.files import read_interchange, scan_tree
-from sparklode.streaming.scan import read_items, start_scan
+from sparklode.plans.taxonomy import type_dimension
+from sparklode.sources.sinks import constants_module, ddl, dry_run, execute, insert_sql, seed_sql, split_sql, type_ids, upsert_items, write_json
+from sparklode.streaming.scan import read_completed, read_items, read_ledger, start_scan
 
 
 def values(text, ext):
@@ -142,12 +145,80 @@ def test_stream_equals_batch(spark, tree):
     assert {(r.hash_sha256, r.type_id, r.ref_count) for r in read_items(spark, str(tree / "store")).collect()} == want
 
 
+def test_stream_goes_on_after_a_batch_that_died(spark, tree, monkeypatch):
+    import sparklode.streaming.scan as scanning
+
+    real, calls = scanning.occurrences_of, []
+
+    def dies(found):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(found)
+
+    monkeypatch.setattr(scanning, "occurrences_of", dies)
+    store = str(tree / "store")
+    with pytest.raises(Exception):
+        start_scan(spark, str(tree / "in"), store, 1).awaitTermination()
+    assert len(read_ledger(spark, store).collect()) == 1
+    start_scan(spark, str(tree / "in"), store, 1).awaitTermination()
+    found, statuses = scan(scan_tree(spark, str(tree / "in")), spark)
+    assert {(r.hash_sha256, r.ref_count) for r in read_items(spark, store).collect()} == {(r.hash_sha256, r.ref_count) for r in D.items_of(found).collect()}
+    assert {tuple(r) for r in read_ledger(spark, store).collect()} == {tuple(r) for r in statuses.collect()}
+    # without its checkpoint a scan leaves complete packages out
+    shutil.rmtree(store + "/checkpoint")
+    (tree / "in/app3").mkdir()
+    (tree / "in/app3/a.js").write_text(f'var token = "{TOKEN}"')
+    assert {r.pkg for r in read_completed(spark, str(tree / "in"), store).filter("completed").collect()} == {"app1", "app2"}
+    start_scan(spark, str(tree / "in"), store + "2", 1, every="1 second").stop()
+
+
+def test_sinks(spark, tree):
+    found, _ = scan(scan_tree(spark, str(tree / "in")), spark)
+    assert {(r.slug, r.n, r.n_files, r.n_values) for r in dry_run(found).collect()} == {("server_cred_token", 1, 1, 1), ("server_url_auth", 2, 2, 1)}
+    rows = [("f", 0, "value one", "js-ast", "a = 'value one'"), ("f", 0, "https://a.acme.cn/x", "js-ast", "a = 'value one'"), ("f", 3, "token-abc-1", "js-ast", "b"), ("f", 5, None, None, None)]
+    constants = spark.createDataFrame(rows, "file string, sid int, value string, src string, stmt string")
+    write_json(constants, found, str(tree / "out"))
+    kept, removed = read_interchange(spark, str(tree / "out/filtered")).collect(), read_interchange(spark, str(tree / "out/removed")).collect()
+    assert sorted([(r.value, r.stmt) for r in kept + removed]) == sorted([(r[2], r[4]) for r in rows[:3]]) and {r.value for r in kept} >= {"https://a.acme.cn/x"}
+    assert spark.read.json(str(tree / "out/classified")).count() == 3
+
+
+def test_sql_sinks(spark):
+    assert split_sql("a 'x;''y' ; -- c;d\nb \"q;\" `r;` /* e; */ # f;\n;;g") == ["a 'x;''y'", '-- c;d\nb "q;" `r;` /* e; */ # f;', "g"]
+    assert insert_sql("t", []) == "" and insert_sql("t", [{"id": 1, "b": "it's"}, {"id": 2, "c": True}]).startswith("INSERT INTO `t` (`b`, `c`, `id`) VALUES\n('it''s', NULL, 1),\n(NULL, 1, 2)\nON DUPLICATE KEY UPDATE `b`=VALUES(`b`), `c`=VALUES(`c`);")
+    assert len(split_sql(ddl())) == 4 and seed_sql(type_dimension(spark)).count("\n(") >= 67
+    groups = [(100, "one", 2, [("a", None), ("b", 5), ("a", 1)]), (300, "others", None, [("o", None)]), (200, "two", 1, [("c", None)])]
+    ids = type_ids(spark.createDataFrame(groups, "start_index int, category string, default_risk int, items array<struct<slug:string,risk:int>>")).collect()
+    assert {tuple(r) for r in ids} == {("a", 101, "one", 1, 2), ("b", 102, "one", 1, 5), ("c", 201, "two", 2, 1), ("o", 301, "others", 99, 0)}
+    assert list(constants_module([r for r in ids if r.slug == "c"])) == ["C = 201"]
+
+
+def test_jdbc_store(spark):
+    url, driver = "jdbc:derby:memory:store;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    execute(spark, url, ["CREATE TABLE data_item (hash_sha256 VARCHAR(64) PRIMARY KEY, type_id INT, raw_value CLOB, ref_count BIGINT)"], driver)
+    items = lambda rows: spark.createDataFrame(rows, "hash_sha256 string, type_id int, raw_value string, ref_count long")
+    upsert_items(items([("h1", 1, "one", 0), ("h2", 2, "two", 3)]), url, "data_item", driver)
+    upsert_items(items([("h2", 9, "other", 1), ("h3", 3, "three", 0)]), url, "data_item", driver)
+    got = spark.read.jdbc(url, "data_item", properties=driver).collect()
+    assert {tuple(r) for r in got} == {("h1", 1, "one", 0), ("h2", 2, "two", 5), ("h3", 3, "three", 0)}
+
+
 def test_interchange(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"statements": ['token: "v"', "s2"], "constants": [["https://a.acme.cn/login", 0, "js"], ["other one", 1, "js"]]}))
     rows = read_interchange(spark, str(tmp_path / "x.json")).orderBy("pos").collect()
     assert [(r.value, r.sid, r.src, r.stmt) for r in rows] == [("https://a.acme.cn/login", 0, "js", 'token: "v"'), ("other one", 1, "js", "s2")]
 
 
+def test_byte_cap(spark):
+    texts = ["", "abc", "é" * 5, "字" * 5, "a字字字", "ab字字字", "𝒳" * 5, "a𝒳𝒳", "ab𝒳𝒳", "abc𝒳𝒳", "é字𝒳é字𝒳", None, "x" * 12]
+    for most in range(1, 12):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select(D.cap_bytes(F.col("t"), most).alias("c")).collect()
+        assert [r.c for r in got] == [t if t is None else t.encode()[:most].decode(errors="ignore") for t in texts]
+    plan = spark.createDataFrame([("a",)], "t string").select(D.cap_bytes(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_store(spark):
     long1, long2 = "字" * 30_000, "字" * 29_999 + "x"
     rows = [("a", "f", 1, 1602, "v1"), ("b", "f", 1, 1702, "v1"), ("a", "f", 2, 9901, long1), ("a", "f", 3, 9901, long2)]
