@@ -289,3 +289,26 @@ THIRD_PARTY_FOLDERS = ("@babel", "miniprogram_npm", "node_modules")
 STYLE_SCRIPT, STYLE_SCRIPT_ENDS = "app-wxss.js", ("-wxss.js", ".wxss.js")
 #: Longest line that is its own statement, and the characters kept on each side of a value in a longer one.
 MOST_LINE, LINE_AROUND = 512, 200
+
+# --- fixed values: places of values ------------------------------------------------------------------------------
+
+URL_FRAGMENT_CHARS, MATERIAL_CHARS = "/\\:?&=", "@!#*^$%~+"
+#: Passwords that stay such whatever their place.
+PASSWORD_KNOWN = (
+    "password1", "password123", "admin123", "Admin123", "emoney5", "video123", "Nihao123", "1Passw0rd!xyz", "jia23xia4kaoshi5t2", "123456a",
+    "o0IN8wTN50QMxX-V4siq_GSRFuts", "mnP7XKDCaWFjINWi", "signBoardPassword_S8hY", "vPYkA3HAAviBMiXnWQUxWdoPKPs=",
+    "Zq0s69O6YrvG090LgOg19z1l8RW99993=", "2019userperm=", "cndcarezIUAGNu5=", "xXxxx9xXX9XxXXx9X9x=", "Admin@123:456", "QwErTy&2024",
+    "s3cr3tSalt&pepper", "MyPwd__2024", "67884E9%^&*67899A26C18DC28",
+)
+ALGORITHM_NAME = (
+    r"hmacWith(?:SHA|MD)[0-9]*|[a-z0-9]+With(?:RSA|DSA|ECDSA)Encryption|rsaEncryption|RSAES-OAEP|mgf1|pSpecified|PBKDF2|scrypt|ecdsa-with-[A-Za-z0-9-]+"
+)
+#: CJK letters as a class, and the literals that make a table, an array, and the most of a run that are counted.
+CJK_LETTERS = "\u3400-\u9fff\uf900-\ufaff\u3040-\u30ff"
+TABLE_LEAST, ARRAY_LEAST, LITERAL_RUN_MOST, LITERAL_RUN_WINDOW = 3, 6, 64, 4096
+IV_KEY_WORDS = ("aes", "encrypt", "decrypt", "sm4", "des", "nonce", "vector")
+IV_LIST_MOST, IV_ELEMENT_HEX, IV_ELEMENT_BASE64 = 5, (16, 24, 32, 48, 64), (16, 22, 24)
+REPORTING_CALLS = (
+    "sensors.track", "sensorsclick.send", "track.clickevent", "track.pageshowevent", "ehisensors.track", "_mixpanel.send", "exposure.removeobserverbyclassname",
+)
+REPORTING_NAMES = ("sensorstrack", "satrack", "sensorstrackclick", "saevent", "sentrycaptureevent", "emotionalrulereport", "xjsensorstrack")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sparklode.functions import context as C
+from sparklode.functions import positions as P
 from sparklode.functions import rules as R
 from sparklode.functions import shapes as S
 
@@ -304,21 +305,32 @@ def is_server_cookie(value: Column, stmt: Column) -> Column:
     )
 
 
-def is_password(value: Column, stmt: Column) -> Column:
-    """A password bound to, or near, a password word that is no part of a path, with a shape that no name, path or style has."""
+def near_password(value: Column, stmt: Column) -> Column:
+    """A password word near the value that is no part of a path."""
     out = F.regexp_replace(C.external(stmt, value), r"(?i)(?<=/)(?:password|passwd|pwd)(?![\"'\t ]*[:=])|(?:password|passwd|pwd)(?=/)", " ")
+    return C.has_segment(out, "pwd") | C.has_word(out, R.PASSWORD_WORDS)
+
+
+def is_password_shape(value: Column) -> Column:
+    """A shape that no name, path, style or placeholder has; where the value stands is another question."""
     low = F.lower(value)
-    near = C.has_segment(out, "pwd") | C.has_word(out, R.PASSWORD_WORDS)
     code = "(?:get|set|send|check|update|input|show|handle|on|is|has|can|do|will|did|loop|anonymous|member|thumb)"
     style = r"::after|::before|:before|:after|content:|text-align|position:|width:|height:|margin|padding|border|font-|,\."
+    dotted = value.contains(".") & S.whole(value, r"[\p{L}._]+") & F.forall(F.split(value, r"\."), lambda p: (p == "") | p.rlike(r"\A\p{Lu}") | (~p.rlike(r"\p{Lu}") & p.rlike(r"\p{Ll}")))
     return (
-        near & F.length(value).between(6, 64) & ~S.is_segmented_name(value) & ~S.is_single_name(value) & ~S.is_digits(value)
-        & ~value.rlike(r"[\s/\\:?&一-鿿]|\A(?:eyJ|Bearer |Basic )|\A[0-9].*\.|\A0\p{L}") & ~low.isin(*R.PASSWORD_PLACEHOLDERS) & ~low.rlike(style)
-        & ~low.rlike(r"\A(?:[a-z]+-[a-z]+-[a-z]+-[0-9]+|[a-z]+-[0-9]+,?\.|icon[-_])") & ~(S.is_alpha(value) & S.is_lower(value))
-        & ~(low.rlike(r"\A" + code) & value.rlike(r"\p{Lu}")) & ~S.whole(value, r"[\p{L}\p{Nd}_-]+\.") & ~(value.contains("=") & ~value.rlike(r"=\z")) & value.rlike(r"\p{L}")
+        F.length(value).between(6, 64) & ~S.is_segmented_name(value) & ~S.is_single_name(value) & ~S.is_digits(value) & ~dotted
+        & ~value.rlike(r"[ /一-鿿]|\A(?:eyJ|Bearer |Basic )|\A[0-9].*\.|\A0\p{L}") & ~low.isin(*R.PASSWORD_PLACEHOLDERS) & ~low.rlike(style)
+        & ~low.rlike(r"\A(?:[a-z]+-[a-z]+-[a-z]+-[0-9]+|[a-z]+-[0-9]+,?\.|icon[-_]|[a-z-]+:[a-z-]+\z)") & ~(S.is_alpha(value) & S.is_lower(value))
+        & ~(low.rlike(r"\A" + code) & value.rlike(r"\p{Lu}")) & ~S.whole(value, r"[\p{L}\p{Nd}_-]+\.") & value.rlike(r"\p{L}")
     )
 
 
+def password_rows(value: Column, place: Column, reject: Column) -> Column:
+    """A password, unless it is none in the window around its own place."""
+    kept = value.isin(*R.PASSWORD_KNOWN) | (near_password(value, place["anchor"]) & ~place["anchor_noise"])
+    return row(F.when(kept, F.when(reject, "id_noise").otherwise("cloud_cred_password")).otherwise("cloud_cred_noise"), value)
+
+
 def is_iv(value: Column, stmt: Column) -> Column:
     out = F.replace(stmt, value, F.lit(""))
     near = out.rlike(r"(?<![0-9A-Za-z])(?:iv|Iv|IV)(?![a-z])|(?<=[a-z0-9])I[Vv](?![a-z])") | S.has_substring(out, R.IV_WORDS)
@@ -400,9 +412,7 @@ def curve_key_slug(value: Column, raw: Column) -> Column:
     return F.when(ok, F.when(private & ~public, "crypto_private_key").otherwise("crypto_public_key"))
 
 
-def hex_token_rows(value: Column, stmt: Column) -> Column:
-    keys = C.bound_keys(stmt, value)
-    id_bound = (F.size(keys) > 0) & F.forall(keys, lambda k: F.lower(k).isin(*R.HEX_ID_KEYS))
+def hex_token_rows(value: Column, stmt: Column, id_bound: Column) -> Column:
     return (
         F.when(S.has_substring(stmt, R.HEX_TOKEN_WORDS), rows_if(~id_bound, "server_cred_token", value))
         .when(S.has_substring(stmt, R.HEX_SESSION_WORDS) | C.has_segment(stmt, "sid"), row("server_cred_session_key", value))
@@ -426,7 +436,7 @@ def is_framework_mark(value: Column) -> Column:
 # --- the chain ---------------------------------------------------------------------------------------------
 
 
-def gates(value: Column, stmt: Column, raw: Column, pair: Column, near_map_key: Column, ident: Column) -> list[tuple[str, Column, Callable[[], Column]]]:
+def gates(value: Column, stmt: Column, raw: Column, pair: Column, near_map_key: Column, ident: Column, place: Column) -> list[tuple[str, Column, Callable[[], Column]]]:
     """(name, condition, rows) in the order in which they are asked."""
     low = F.lower(value)
     pem = F.when(S.starts_with(value, ("-----BEGIN PRIVATE", "-----BEGIN RSA PRIVATE")), "crypto_private_key").when(value.startswith("-----BEGIN PUBLIC"), "crypto_public_key")
@@ -448,7 +458,7 @@ def gates(value: Column, stmt: Column, raw: Column, pair: Column, near_map_key:
         ("pem", pem.isNotNull() & ~S.whole(value, r"-----BEGIN [A-Z0-9 ]*KEY-----[\s\\nrt]*"), lambda: row(pem, value)),
         ("private_key", S.starts_with(value, R.BASE64_PRIVATE_PREFIXES) & S.whole(value, "[A-Za-z0-9+/=_-]{200,}"), lambda: row("crypto_private_key", value)),
         ("public_key", S.starts_with(value, R.BASE64_PUBLIC_PREFIXES) & S.whole(value, "[A-Za-z0-9+/=_-]{100,}"), lambda: row("crypto_public_key", value)),
-        ("iv", is_iv(value, stmt) | is_aes_key(value, stmt), lambda: row("crypto_static_iv", value)),
+        ("iv", is_iv(value, stmt) | is_aes_key(value, stmt), lambda: row(F.when(F.coalesce(place["iv"], F.lit(True)), "crypto_static_iv").otherwise("id_noise"), value)),
         ("app_key", app_key.isNotNull(), lambda: row(app_key, value)),
         ("map_neighbour", near_map_key & F.lower(stmt).rlike("secretkey|secret_key") & F.length(value).between(24, 64) & S.is_alnum(value) & value.rlike(r"\p{L}") & value.rlike(r"\p{Nd}"), lambda: row("saas_map_key", value)),
         ("secret", is_secret_key(value, stmt), lambda: row("platform_app_secret", value)),
@@ -459,14 +469,14 @@ def gates(value: Column, stmt: Column, raw: Column, pair: Column, near_map_key:
         ("bucket", looks_like_bucket(value, stmt), lambda: row(F.when(has_bucket_evidence(value, stmt), "cloud_bucket_name").otherwise("id_noise"), value)),
         ("email", email.isNotNull(), lambda: row(F.when(email == "strict", "pii_email_name").otherwise("pii_noise"), value)),
         ("map_key", is_map_key(value, stmt) | is_map_secret(value, stmt), lambda: row("saas_map_key", value)),
-        ("analytics", is_analytics_key(value, stmt), lambda: row("saas_analytics_key", value)),
+        ("analytics", is_analytics_key(value, stmt), lambda: row(F.when(place["reported"], "id_noise").otherwise("saas_analytics_key"), value)),
         ("session_key", is_session_key(value, stmt), lambda: row("platform_session_key", value)),
         ("payment", pay.isNotNull(), lambda: row(pay, value)),
         ("identifier", ident["slug"].isNotNull(), lambda: row(ident["slug"], value)),
-        ("password", is_password(value, stmt), lambda: or_noise("cloud_cred_password")),
+        ("password", is_password_shape(value) & near_password(value, stmt) & ~place["window_noise"], lambda: password_rows(value, place, reject)),
         ("server_cookie", is_server_cookie(value, stmt), lambda: or_noise("server_cred_cookie")),
         ("cloud_token", token.isNotNull(), lambda: row(F.concat(F.lit("cloud_cred_"), token), value)),
-        ("hex_token", S.is_hex_token(value), lambda: hex_token_rows(value, stmt)),
+        ("hex_token", S.is_hex_token(value), lambda: hex_token_rows(value, stmt, _sure(place["id_bound"]))),
         ("spaced", value.rlike(r"(?U)\s"), nothing),
         ("digit", value.rlike(r"\A\p{Nd}"), lambda: digit_rows(value, stmt)),
         ("alpha", value.rlike(r"\A\p{L}"), lambda: alpha_rows(value, stmt, reject)),
@@ -541,12 +551,19 @@ def classify(constants: DataFrame) -> DataFrame:
     # explode keeps the optimizer from copying these into every gate that reads them
     once = F.explode(F.array(F.struct("near_map_key", pair.alias("pair"), has("veto").alias("vetoed"), identifier_slug(value, ctx).alias("ident"), is_identity(value, ctx).alias("identity"))))
     staged = joined.select("file", "src", "sid", "pos", "value", "ctx", "stmt", once.alias("s"))
+    staged = staged.withColumn("place", P.position_of(value, ctx, F.col("stmt"), _sure(_asks_for_place(value, ctx))))
     found = staged.withColumn("found", F.explode(_chain(spark_id())))
     risky = F.col("found.slug").isin(*HIGH_RISK)
     slug = F.when(F.col("s.identity"), "miniapp_noise").when(F.col("s.vetoed") & risky & (F.col("found.value") == value), "cloud_cred_noise").otherwise(F.col("found.slug"))
     return found.select("file", "src", "pos", slug.alias("slug"), F.when(F.col("s.identity"), value).otherwise(F.col("found.value")).alias("value"), F.col("ctx").alias("context"))
 
 
+def _asks_for_place(value: Column, stmt: Column) -> Column:
+    """Values that a gate may ask the place of, by cheap tests."""
+    words = S.has_substring(stmt, ("pwd", *R.PASSWORD_WORDS, *R.ANALYTICS_WORDS, *R.IV_WORDS, *R.AES_WORDS, "iv", *R.HEX_TOKEN_WORDS))
+    return F.length(value).between(6, 128) & ~value.rlike(r"\s") & words | S.is_hex_token(value)
+
+
 def spark_id() -> str:
     return SparkContext.getOrCreate().applicationId
 
@@ -555,7 +572,7 @@ def spark_id() -> str:
 def _chain(application: str) -> Column:
     """The gates as one expression over the staged columns; thousands of nodes, so made once an application."""
     chain = None
-    for _, condition, emit in gates(F.col("value"), F.col("ctx"), F.col("stmt"), F.col("s.pair"), F.col("s.near_map_key"), F.col("s.ident")):
+    for _, condition, emit in gates(F.col("value"), F.col("ctx"), F.col("stmt"), F.col("s.pair"), F.col("s.near_map_key"), F.col("s.ident"), F.col("place")):
         chain = F.when(_sure(condition), emit()) if chain is None else chain.when(_sure(condition), emit())
     return chain
 

@@ -649,7 +649,60 @@ SUITE = [
     ("eyJhbGciOi{m}.eyJ{k}.sig", 'call("{v}")', "platform_access_token"),
     ("o{m27}", 'who("{v}")', "id_user_identifier"),
 ]
-_PIECES = {"{m}": "m", "{m4}": "substr(m, 1, 4)", "{m8}": "substr(m, 1, 8)", "{m16}": "substr(m, 1, 16)", "{m27}": "substr(m, 1, 27)", "{k}": "k", "{k9}": "k"}
+#: The same for every other gate: what it takes, and what is near to that.
+GATES = [
+    ("data-{m8}", 'el("{v}")', None),
+    ("&b{k}=", 'x("{v}")', None),
+    ("&b{k}", 'x("{v}")', "other"),
+    (";h{m8}", 'x("{v}")', None),
+    ("@@{m8}", 'x("{v}")', None),
+    ("_x{m8}", 'x("{v}")', "other"),
+    ("https%3a%2f%2fh{k}.cn", 'u("{v}")', "encoding_url"),
+    ("-----BEGIN PRIVATE KEY-----{m}", 'k("{v}")', "crypto_private_key"),
+    ("-----BEGIN PUBLIC KEY-----{m}", 'k("{v}")', "crypto_public_key"),
+    ("MIIE{m}{m}{m}{m}{m}{m}{m}", 'k("{v}")', "crypto_private_key"),
+    ("MIGf{m}{m}{m}{m}", 'k("{v}")', "crypto_public_key"),
+    ("{m}", 'iv: "{v}"', "crypto_static_iv"),
+    ("{m}", 'cfg.vector = n, e = ["one/{k}", "two", "{v}", "three", "four", "five", "six"]', "id_noise"),
+    ("{m}", 'cfg.vector = n, e = ["{v}", "{v}"]', "crypto_static_iv"),
+    ("{m}", 'aesKey: "{v}"', "crypto_static_iv"),
+    ("a{m}", 'accessKey: "{v}"', "platform_app_secret"),
+    ("a{m}", 'appkey: "{v}"', "saas_analytics_key"),
+    ("{m}", 'appSecret: "{v}"', "platform_app_secret"),
+    ("{m}{m}{m}{m}{m}{m}{m}{m}", 'rsa.setPublic("{v}")', "crypto_public_key"),
+    ("{m}{m16}", 'publicKey: "{v}"', "crypto_public_key"),
+    ("{m}{m16}", 'privKeyHex: "{v}"', "crypto_private_key"),
+    ("04{m}{m}{m}{m}", 'x("{v}")', "crypto_public_key"),
+    ("/api/list{k}?a=b", 'x("{v}")', "miniapp_api_params"),
+    ("shop-{k}-1300000001", 'bucket: "{v}"', "cloud_bucket_name"),
+    ("shop-{k}-dir", 'x("{v}"), bucketList', "id_noise"),
+    ("AIzaSy{m}", 'x("{v}")', "saas_map_key"),
+    ("{m}", 'amapKey: "{v}"', "saas_map_key"),
+    ("a{m}", 'umeng: "{v}"', "saas_analytics_key"),
+    ("ev_{m8}1", 'getApp().sensors.track("{v}", 1)', "id_noise"),
+    ("{b64}", 'session_key: "{v}"', "platform_session_key"),
+    ("{m}", 'mchKey: "{v}"', "payment_secret"),
+    ("prepay_id=wx1{m}", 'package: "{v}"', "payment_package"),
+    ("N{m}", 'nonceStr: "{v}"', None),
+    ("A{m}", 'idfa: "{v}"', None),
+    ("u{m16}", 'userId: "{v}"', "id_user_identifier"),
+    ("T{m16}", 'orderNo: "{v}"', "id_order_identifier"),
+    ("P@ss{m8}", 'password: "{v}"', "cloud_cred_password"),
+    ("P@ss{m8}", 'name: "{v}"', None),
+    ("Pq{m8}X1", 'pwd; console.log("{v}")', None),
+    ("Pq{m8}X&", 'pwd; x = "a" + "{v}"', "cloud_cred_password"),
+    ("pq{m4}xy&", 'pwd; x = "a" + "{v}"', None),
+    ("pq_{m8}", 'isPwd && e(["{v}", "b1", "c1", "d1", "e1", "f1"])', "cloud_cred_noise"),
+    ("sid={m}", 'cookie: "{v}"', "server_cred_cookie"),
+    ("{m}", 'session: "{v}"', "server_cred_session_key"),
+    ("{m}{m8}", 'token = x ? id : "{v}"', "server_cred_token"),
+    ("two words {k}", 'x("{v}")', None),
+    (".cls{k}", 'x("{v}")', None),
+    ("pages/x{k}/view.wxml", '__wxAppCode__["pages/x{k}/view.wxml"] = {}', "miniapp_noise"),
+]
+_PIECES = {
+    "{m}": "m", "{m4}": "substr(m, 1, 4)", "{m8}": "substr(m, 1, 8)", "{m16}": "substr(m, 1, 16)", "{m27}": "substr(m, 1, 27)", "{k}": "k", "{k9}": "k", "{b64}": "base64(unhex(m))",
+}
 
 
 def _pieces(form: str) -> list[tuple[bool, str]]:
@@ -667,23 +720,33 @@ def _pieces(form: str) -> list[tuple[bool, str]]:
     return out
 
 
-def _suite_sql() -> str:
-    value = " ".join(f"WHEN {i} THEN " + " || ".join(e if piece else "'" + e + "'" for piece, e in _pieces(form)) for i, (form, _, _) in enumerate(SUITE))
-    slug = " ".join(f"WHEN {i} THEN '{s}'" for i, (_, _, s) in enumerate(SUITE) if s)
-    return f"""WITH s AS (SELECT o_orderkey % {len(SUITE)} AS r, o_orderkey::VARCHAR AS k, md5(o_orderkey::VARCHAR) AS m FROM orders), v AS (SELECT r, k, CASE r {value} END AS value, CASE r {slug} END AS slug FROM s)
+def _suite_sql(suite: list[tuple[str, str, str | None]] = SUITE) -> str:
+    value = " ".join(f"WHEN {i} THEN " + " || ".join(e if piece else "'" + e + "'" for piece, e in _pieces(form)) for i, (form, _, _) in enumerate(suite)).replace("base64(", "to_base64(")
+    slug = " ".join(f"WHEN {i} THEN '{s}'" for i, (_, _, s) in enumerate(suite) if s)
+    return f"""WITH s AS (SELECT o_orderkey % {len(suite)} AS r, o_orderkey::VARCHAR AS k, md5(o_orderkey::VARCHAR) AS m FROM orders), v AS (SELECT r, k, CASE r {value} END AS value, CASE r {slug} END AS slug FROM s)
 SELECT k AS file, regexp_replace(value, '^plugin://', '') AS value, slug FROM v WHERE slug IS NOT NULL"""
 
 
 @query(_suite_sql())
 def classify_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One constant a file through the whole chain."""
-    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("m"), (F.col("o_orderkey") % len(SUITE)).alias("r"))
+    return _suite(spark, sf_dir, SUITE)
+
+
+@query(_suite_sql(GATES))
+def gate_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other gates of the chain, with what is near to what they take."""
+    return _suite(spark, sf_dir, GATES)
+
+
+def _suite(spark: SparkSession, sf_dir: str, suite: list[tuple[str, str, str | None]]) -> DataFrame:
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("m"), (F.col("o_orderkey") % len(suite)).alias("r"))
     value, stmt = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, (form, around, _) in enumerate(SUITE):
+    for i, (form, around, _) in enumerate(suite):
         made = F.concat(*[F.expr(e) if piece else F.lit(e) for piece, e in _pieces(form)])
         value = F.when(F.col("r") == i, made).otherwise(value)
-        before, after = around.split("{v}")
-        stmt = F.when(F.col("r") == i, F.concat(F.lit(before), made, F.lit(after))).otherwise(stmt)
+        parts = [F.lit(part) if at % 2 == 0 else made if part == "v" else F.col("k") for at, part in enumerate(re.split(r"\{([vk])\}", around))]
+        stmt = F.when(F.col("r") == i, F.concat(*parts)).otherwise(stmt)
     rows = base.select(F.col("k").alias("file"), F.lit(0).alias("sid"), F.lit(1).cast("long").alias("pos"), value.alias("value"), F.lit("js-ast").alias("src"), stmt.alias("stmt"))
     return K.classify(rows).select("file", "value", "slug")
 
