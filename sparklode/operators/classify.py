@@ -534,7 +534,8 @@ def classify(constants: DataFrame) -> DataFrame:
     near = near.withColumn("ak", F.when(F.col("half") == "ak", value).otherwise(other)).withColumn("sk", F.when(F.col("half") == "ak", other).otherwise(value))
     near = near.withColumn("bad", _sure(is_impossible_pair(F.col("ak"), F.col("sk")))).withColumn("mate", F.when(F.col("side") == "next", F.col("next_pos")).otherwise(F.col("prev_pos")))
     # the fold over a file's candidates: (consumed positions, vetoed positions, owners)
-    seeds = near.filter("side is not null").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "mate", "bad"))).alias("seeds"))
+    seed = F.when(F.col("side").isNotNull(), F.struct("pos", "mate", "bad"))
+    near = near.withColumn("seeds", F.array_sort(F.collect_list(seed).over(W.Window.partitionBy("file"))))
     start = F.expr("named_struct('used', cast(array() as array<bigint>), 'veto', cast(array() as array<bigint>), 'own', cast(array() as array<bigint>))")
 
     def step(acc: Column, s: Column) -> Column:
@@ -542,8 +543,9 @@ def classify(constants: DataFrame) -> DataFrame:
         add = lambda name, xs, when: F.when(when & ~skip, F.concat(acc[name], xs)).otherwise(acc[name]).alias(name)
         return F.struct(add("used", F.array(s["mate"]), ~s["bad"]), add("veto", F.array(s["pos"], s["mate"]), s["bad"]), add("own", F.array(s["pos"]), ~s["bad"]))
 
-    folded = seeds.select("file", F.aggregate("seeds", start, step).alias("fold"))
-    joined = near.join(folded, "file", "left")
+    # only seeds and their mates ask for the fold; explode keeps the optimizer from copying it into every use
+    asked = F.col("side").isNotNull() | F.exists("seeds", lambda s: s["mate"] == F.col("pos"))
+    joined = near.withColumn("fold", F.explode(F.array(F.when(asked, F.aggregate("seeds", start, step)))))
     has = lambda name: _sure(F.array_contains(F.col(f"fold.{name}"), F.col("pos")))
     # a partner is used up only if its owner comes before it in the fold; the fold saw to that
     joined = joined.filter(~(has("used") & ~has("own")))

@@ -114,11 +114,15 @@ def drop_near_duplicates(constants: DataFrame) -> DataFrame:
     """Of equal (value, src) in a file those far enough apart in statement ids, at most NEAR_KEEP evenly spread.
 
     constants: file, value, src, sid and others. A bucket is one value of one file, so what one task folds is bounded by a
-    file; equal rows of one sid are one occurrence, as in the extractors.
+    file; equal rows of one sid are one occurrence, as in the extractors. One pass: the constants are not read twice.
     """
-    ids = constants.groupBy("file", "value", "src").agg(F.array_sort(F.collect_set(F.col("sid").cast("long"))).alias("ids"))
-    kept = ids.withColumn("thr", near_threshold(F.col("ids"))).select("file", "value", "src", F.explode(evenly(far_enough(F.col("ids"), F.col("thr")))).alias("sid"))
-    return constants.join(kept, [constants[c].eqNullSafe(kept[c]) for c in ("file", "value", "src", "sid")], "left_semi")
+    sid = F.col("sid").cast("long")
+    bucket = W.Window.partitionBy("file", "value", "src")
+    ids = constants.withColumn("_ids", F.array_sort(F.collect_set(sid).over(bucket)))
+    # explode keeps the optimizer from folding the threshold once for every use
+    ids = ids.withColumn("_thr", F.explode(F.array(near_threshold(F.col("_ids")))))
+    kept = F.when(F.size("_ids") < 2, F.col("_ids")).otherwise(evenly(far_enough(F.col("_ids"), F.col("_thr"))))
+    return ids.filter(F.coalesce(F.array_contains(kept, sid), F.lit(False))).drop("_ids", "_thr")
 
 
 def filter_constants(constants: DataFrame, smart: bool = False) -> DataFrame:

@@ -138,6 +138,13 @@ def test_scan(spark, tree):
     assert {r.pkg for r in scan_tree(spark, str(tree / "in"), done).collect()} == {"app2"}
 
 
+def test_files_are_read_once(spark, tree):
+    found, _ = scan(scan_tree(spark, str(tree / "in")), spark)
+    found.collect()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
 def test_stream_equals_batch(spark, tree):
     start_scan(spark, str(tree / "in"), str(tree / "store"), 1).awaitTermination()
     found, _ = scan(scan_tree(spark, str(tree / "in")), spark)
