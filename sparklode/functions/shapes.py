@@ -46,7 +46,7 @@ def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
     n = F.length(text).cast("double")
     share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n
-    return F.when(F.length(text) > 0, -F.aggregate(F.array_sort(F.array_distinct(chars(text))), F.lit(0.0), lambda acc, c: acc + share(c) * F.log2(share(c)))).otherwise(0.0)
+    return F.when(F.length(text) > 0, -F.aggregate(F.array_sort(F.array_distinct(chars(text))), F.lit(0.0), lambda acc, c: acc + share(c) * F.log2(share(c))) + F.lit(0.0)).otherwise(0.0)
 
 
 def is_digits(text: Column) -> Column:

@@ -450,9 +450,9 @@ def noise_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).groupBy(F.length("w").alias("n_chars"), N.is_unwanted(F.col("w")).alias("unwanted")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {WORDS}, e AS (SELECT w, list_entropy(string_split(w, '')) AS e FROM w WHERE length(w) BETWEEN 7 AND 12) SELECT length(w) AS n_chars, count(*) AS n, round(min(e), 6) AS least, round(max(e), 6) AS most FROM e GROUP BY 1")
+@query(f"WITH {WORDS}, e AS (SELECT w, list_entropy(string_split(w, '')) AS e FROM w) SELECT length(w) AS n_chars, count(*) AS n, round(min(e), 6) AS least, round(max(e), 6) AS most FROM e GROUP BY 1")
 def word_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = words(spark, sf_dir).filter("length(w) between 7 and 12").select("w", S.entropy(F.col("w")).alias("e"))
+    rows = words(spark, sf_dir).select("w", S.entropy(F.col("w")).alias("e"))
     return rows.groupBy(F.length("w").alias("n_chars")).agg(F.count("*").alias("n"), F.round(F.min("e"), 6).alias("least"), F.round(F.max("e"), 6).alias("most"))
 
 
@@ -515,16 +515,13 @@ def even_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the store ------------------------------------------------------------------------------------------------
 
-APPS = "source"
-
-
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long words of documents as findings of the app that the source names."""
+    """The words of documents as findings of the app that the source names."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("pkg"), F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", r"[ \t\n]+")).alias("pos", "value"))
-    return docs.filter("length(value) > 14").select("pkg", "file", "pos", "value", F.lit(9901).alias("type_id"), F.lit("text").alias("src"), F.col("value").alias("context"))
+    return docs.filter("value != ''").select("pkg", "file", "pos", "value", F.lit(9901).alias("type_id"), F.lit("text").alias("src"), F.col("value").alias("context"))
 
 
-_LONG = "o AS (SELECT source AS appid, doc_id::VARCHAR AS source_file, w AS value FROM (SELECT source, doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n]+')) AS w FROM documents) WHERE length(w) > 14)"
+_LONG = "o AS (SELECT source AS appid, doc_id::VARCHAR AS source_file, w AS value FROM (SELECT source, doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n]+')) AS w FROM documents) WHERE w <> '')"
 
 
 @query(f"WITH {_LONG} SELECT sha256(value) AS hash_sha256, 9901 AS type_id, min(value) AS raw_value, count(*) - 1 AS ref_count FROM o GROUP BY value")
@@ -752,12 +749,12 @@ def _suite(spark: SparkSession, sf_dir: str, suite: list[tuple[str, str, str | N
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber, 'AKID' || substr(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, 20) AS ak, substr(sha256(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, 40) AS sk FROM lineitem WHERE l_linenumber = 1)
-SELECT l_orderkey::VARCHAR AS file, 'cloud_cred_ak_sk_pair' AS slug, 'AK=' || ak || ', SK=' || sk AS value FROM p"""
+    """WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber, 'AKID' || substr(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, 20) AS ak, substr(sha256(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, 40) AS sk FROM lineitem)
+SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS file, 'cloud_cred_ak_sk_pair' AS slug, 'AK=' || ak || ', SK=' || sk AS value FROM p"""
 )
 def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An access key followed by its secret: the pair is one finding, the secret none of its own."""
-    base = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("file"), F.concat(F.col("l_orderkey").cast("string"), F.lit("-1")).alias("k")).distinct()
+    base = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("file")).distinct().withColumn("k", F.col("file"))
     ak = F.concat(F.lit("AKID"), F.substring(F.md5(F.col("k").cast("binary")), 1, 20))
     sk = F.substring(F.sha2("k", 256), 1, 40)
     each = base.select("file", F.explode(F.array(F.struct(F.lit(0).alias("sid"), ak.alias("value"), F.lit("secretId").alias("key")), F.struct(F.lit(1).alias("sid"), sk.alias("value"), F.lit("secretKey").alias("key")))).alias("c"))
