@@ -116,6 +116,17 @@ l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.d
 r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
 c AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id FROM d LEFT JOIN r ON r.a = d.doc_id GROUP BY 1)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+""",
+    "op9_suffix_array_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, len(h) // 2 AS n, k, substr(h, k * 2000 + 1, 2200) AS part FROM (SELECT doc_id, h, unnest(range(0, (len(h) + 1999) // 2000)) AS k FROM d)),
+b AS (SELECT doc_id, n, k * 1000 + i AS p, i, part FROM (SELECT doc_id, n, k, part, unnest(range(0, least(1000, n - k * 1000))) AS i FROM c)),
+w AS (SELECT doc_id, p, substr(part, 2 * i + 1, 2) AS x, CASE WHEN p + 100 <= n THEN substr(part, 2 * i + 1, 200) END AS s FROM b),
+r AS (SELECT doc_id, p, x, (s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1)::INT AS again FROM w),
+g AS (SELECT doc_id, p, x, max(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+e AS (SELECT doc_id, p, x, gone, (gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) = 0)::INT AS starts FROM g),
+a AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, sum(starts) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (gone = 0) AS kept FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """,
     "op5_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
