@@ -312,3 +312,10 @@ REPORTING_CALLS = (
     "sensors.track", "sensorsclick.send", "track.clickevent", "track.pageshowevent", "ehisensors.track", "_mixpanel.send", "exposure.removeobserverbyclassname",
 )
 REPORTING_NAMES = ("sensorstrack", "satrack", "sensorstrackclick", "saevent", "sentrycaptureevent", "emotionalrulereport", "xjsensorstrack")
+
+# --- fixed values: beginnings of style class names -------------------------------------------------------------------
+
+CSS_STEMS = (
+    "bg", "text", "font", "border", "m", "p", "row", "col", "flex", "grid", "btn", "icon", "fade", "slide", "active", "hover", "focus", "dropdown",
+    "item", "option", "menu", "nav",
+)

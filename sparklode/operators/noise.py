@@ -52,8 +52,27 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(two, "[-_.]", " ")), r"\s+"), lambda w: w != "")
 
 
-def smart_decision(value: Column) -> Column:
-    """The smart filter's decision; neither a dictionary nor a language model takes part."""
+def composed_of_words(values: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """value, composed of distinct values (column value): all parts of a name are digits, words of the dictionary (column word, lower case), words
+    of dates or of styles, or plurals of the first or third. Parts meet the dictionary by a join, which Spark broadcasts only if its size allows."""
+    names = values.select("value").filter("value is not null").distinct()
+    parts = names.select("value", F.explode_outer(F.array_distinct(split_words(F.col("value")))).alias("part"))
+    single = F.when(F.col("part").endswith("s"), F.col("part").substr(F.lit(1), F.length("part") - 1))
+    known = dictionary.select(F.col("word").alias("known")).distinct()
+    asked = parts.select("part").unionByName(parts.select(single.alias("part"))).filter("part is not null").distinct()
+    found = asked.join(known, F.col("part") == F.col("known"), "left_semi")
+    both = parts.withColumn("single", single).join(found.select(F.col("part").alias("a")), F.col("part") == F.col("a"), "left").join(found.select(F.col("part").alias("b")), F.col("single") == F.col("b"), "left")
+    dates = lambda c: F.col(c).isin(*R.TIME_DATE_NOISE)
+    valid = F.col("a").isNotNull() | F.col("b").isNotNull() | dates("part") | F.coalesce(dates("single"), F.lit(False)) | F.col("part").isin(*R.CSS_STEMS) | S.is_digits(F.col("part"))
+    folded = both.groupBy("value").agg(F.min(F.coalesce(valid, F.lit(False))).alias("all_valid"))
+    return folded.select("value", (F.col("all_valid") & F.col("value").rlike(r"\p{L}")).alias("composed"))
+
+
+def smart_decision(value: Column, composed: Column | None = None, language: Column | None = None) -> Column:
+    """The smart filter's decision. composed: whether the value's parts are words (composed_of_words); language: that of a value
+    which is prose, null if it is none; without them those steps are left out."""
+    never = F.lit(False)
+    prose = never if language is None else language.isNotNull() & value.contains(" ") & (F.length(value) > 10) & ~F.exists(F.split(value, r"\s+"), lambda w: F.length(w) >= 25)
     digit, alpha, symbol = value.rlike("[0-9]"), value.rlike("[a-zA-Z]"), value.rlike(r"[^a-zA-Z0-9\s]")
     words = F.split(F.lower(value), r"[\s._-]+")
     css = S.whole(value, "[a-z]+(?:-[a-z0-9]+)+") | (value.contains("__") & ~value.rlike(r"\p{Lu}"))
@@ -65,6 +84,8 @@ def smart_decision(value: Column) -> Column:
         .when(S.is_digits(value) & (F.length(value) > 12), "!!! DATA: Long ID/Num")
         .when(value.rlike(r"(?s)\A(?:Basic|Bearer|Token|Auth)\s+\S.{10,}"), "!!! KEY: Auth Header")
         .when(digit & symbol & ~alpha & ~S.whole(value, "20[0-9]{2}-[0-9]{2}-[0-9]{2}"), "!!! PASS: Digit+Symbol")
+        .when(never if composed is None else F.coalesce(composed, never), "FILTER: Variables/Code")
+        .when(prose, F.concat(F.lit("FILTER: Lang ("), never.cast("string") if language is None else language, F.lit(")")))
         .when(~value.contains(" ") & S.whole(value, "[0-9a-fA-F]{15,}"), "!!! KEY: Hex Token")
         .when(~value.contains(" ") & alpha & digit, "!!! PASS: AlphaNumeric")
         .when(~value.contains(" ") & alpha & ~digit & ~symbol & (F.length(value) > 3), "!!! SUSPECT: Unknown Alpha")

@@ -468,6 +468,21 @@ def smart_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).groupBy(N.smart_decision(F.col("w")).alias("decision")).agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH d AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), v AS (SELECT DISTINCT replace(p_name, ' ', CASE p_partkey % 3 WHEN 0 THEN '_' WHEN 1 THEN '-' ELSE '.' END) || CASE p_partkey % 5 WHEN 0 THEN 's' WHEN 1 THEN '_jan_7' WHEN 2 THEN '_btn' WHEN 3 THEN '_qxz' ELSE '' END AS value FROM part),
+p AS (SELECT value, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(value, '[-_.]', ' ', 'g')), '\\s+'), lambda w: w <> '')) AS part FROM v),
+k AS (SELECT value, part IN (SELECT word FROM d) OR (ends_with(part, 's') AND (substr(part, 1, length(part) - 1) IN (SELECT word FROM d) OR substr(part, 1, length(part) - 1) IN ({_list(R.TIME_DATE_NOISE)}))) OR part IN ({_list(R.TIME_DATE_NOISE)}) OR part IN ({_list(R.CSS_STEMS)}) OR regexp_full_match(part, '[0-9]+') AS ok FROM p)
+SELECT value, bool_and(ok) AS composed FROM k GROUP BY value"""
+)
+def word_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of the parts' words against those words as the dictionary."""
+    parts = table(spark, sf_dir, "part")
+    r, t = F.col("p_partkey") % 3, F.col("p_partkey") % 5
+    end = F.when(t == 0, "s").when(t == 1, "_jan_7").when(t == 2, "_btn").when(t == 3, "_qxz").otherwise("")
+    value = F.concat(F.replace("p_name", F.lit(" "), F.when(r == 0, "_").when(r == 1, "-").otherwise(".")), end)
+    return N.composed_of_words(parts.select(value.alias("value")), parts.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")))
+
+
 @query(
     """WITH n AS (SELECT p_partkey, replace(p_type, ' ', '') || '_' || p_brand AS name FROM part),
 s AS (SELECT p_partkey, name, regexp_replace(regexp_replace(regexp_replace(name, '(.)([A-Z][a-z]+)', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[-_.]', ' ', 'g') AS s FROM n)
