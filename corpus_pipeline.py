@@ -53,8 +53,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written on its way goes when its result is written."""
     scratch = Scratch(spark, "pipeline")
+    since = len(Scratch.made)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        Scratch.clear(spark, since)
     return docs
