@@ -59,11 +59,10 @@ def _paths(hits: DataFrame) -> DataFrame:
     in_doc = W.Window.partitionBy("doc_id").orderBy("at")
     joined = (F.col("at") == F.lag("at").over(in_doc) + 1) & F.col("way_in") & F.lag("way_out").over(in_doc)
     number = F.sum(F.when(joined, 0).otherwise(1)).over(in_doc)
-    # a mark counts up to 1 << SHIFT windows, so longer paths are several marks
-    rows = hits.withColumn("path", number).groupBy("doc_id", "path").agg(F.min("at").alias("at"), F.count("*").alias("n"))
-    most = (1 << SHIFT) - 1
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int"))))
-    return rows.select("doc_id", (F.shiftleft(F.col("at") + F.col("i") * most, SHIFT) + F.least(F.lit(most), F.col("n") - F.col("i") * most)).alias("mark"))
+    # a mark counts fewer than 1 << SHIFT windows, so a longer path is cut where its place in the document is a multiple of that
+    block = F.floor(F.col("at") / ((1 << SHIFT) - 1))
+    rows = hits.withColumn("path", number).groupBy("doc_id", "path", block.alias("block")).agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    return rows.select("doc_id", (F.shiftleft("at", SHIFT) + F.col("n")).alias("mark"))
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = 13) -> DataFrame:
