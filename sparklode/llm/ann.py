@@ -277,14 +277,17 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, key: str = "ve
         sample = rows.join(F.broadcast(fitted), "vec_id").collect()
         router = learn(np.array([r["v"] for r in sorted(sample, key=lambda r: r["vec_id"])]), parts, longest)
 
+    # 0 for every row, but no constant: the joins on it stay joins by key
+    one_part = F.pmod(F.xxhash64("vec_id"), F.lit(1)).cast("int").alias("part")
+
     def in_all(queries: DataFrame) -> DataFrame:
         """The exact search of few queries."""
-        whole = rows.select(F.lit(0).alias("part"), "vec_id", "v")
+        whole = rows.select(one_part, "vec_id", "v")
         sizes = whole.groupBy("part").agg(F.count("*").alias("n")).join(queries.groupBy("part").agg(F.count("*").alias("nq")), "part")
         return _search(whole, queries, sizes, k)
 
     if router is not None:
-        asked = scratch.table(rows.join(F.broadcast(held), "vec_id").select(F.lit(0).alias("part"), "vec_id", "v"), "held_rows")
+        asked = scratch.table(rows.join(F.broadcast(held), "vec_id").select(one_part, "vec_id", "v"), "held_rows")
         near = scratch.table(in_all(asked).select("query_id", "vec_id"), "held_near")
         where = rows.join(F.broadcast(near), "vec_id").select("query_id", "v").collect()  # HELD_QUERIES * k rows at most
         queries = asked.select("vec_id", "v").collect()
@@ -311,7 +314,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, key: str = "ve
         short = out.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= need).select("query_id")
         left = rows.filter(is_query).join(short, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "v")
         if not left.isEmpty():
-            left = scratch.table(left.select(F.lit(0).alias("part"), "vec_id", "v"), "left")
+            left = scratch.table(left.select(one_part, "vec_id", "v"), "left")
             more = in_all(left)
             out = out.join(left.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return out.select("query_id", "rank", "vec_id", "score")
