@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparklode.operators.store import completed_packages, items_of, merge_statuses, occurrences_of
 from sparklode.plans.pipeline import findings_of
-from sparklode.sources.extract import extract
+from sparklode.sources.extract import content_key, extract, one_of_each
 from sparklode.sources.files import scan_tree, stream_tree
 
 LEDGER = "pkg string, rel_path string, status string, batch int"
@@ -19,20 +19,25 @@ OCCURRENCES = "appid string, hash_sha256 string, source_file string, detector_so
 def start_stream(files: DataFrame, store: str, every: str | None = None) -> StreamingQuery:
     """Scans a stream of files (pkg, file, ext, content). Each batch writes its items, occurrences and statuses to folders of its own
     number, the statuses last, so a batch that is run again overwrites itself and a file counts as done only when its findings are
-    there. every: a trigger interval such as "2 seconds"; without one the query ends when all that is there has been read."""
+    there. Files of a batch with equal content are extracted and classified once, and each gets the findings. every: a trigger interval
+    such as "2 seconds"; without one the query ends when all that is there has been read."""
     spark = files.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        constants = extract(batch).persist()
-        found = findings_of(constants, spark).persist()
+        keyed = batch.withColumn("key", content_key())
+        where = keyed.select("pkg", "file", "key").persist()
+        constants = extract(one_of_each(keyed)).persist()
+        each = findings_of(constants, spark).withColumnsRenamed({"pkg": "key", "file": "one"}).drop("one").persist()
         try:
+            found = where.join(each, "key")
             items_of(found).write.mode("overwrite").parquet(f"{store}/items/batch={number}")
             occurrences_of(found).write.mode("overwrite").parquet(f"{store}/occurrences/batch={number}")
-            ledger = constants.filter(F.col("value").isNull()).select("pkg", F.col("file").alias("rel_path"), "status")
+            statuses = constants.filter(F.col("value").isNull()).select(F.col("pkg").alias("key"), "status")
+            ledger = where.join(statuses, "key").select("pkg", F.col("file").alias("rel_path"), "status")
             ledger.write.mode("overwrite").parquet(f"{store}/ledger/batch={number}")
         finally:
-            found.unpersist()
-            constants.unpersist()
+            for held in (each, constants, where):
+                held.unpersist()
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return files.writeStream.foreachBatch(write).option("checkpointLocation", f"{store}/checkpoint").trigger(**trigger).start()

@@ -180,6 +180,38 @@ def test_stream_goes_on_after_a_batch_that_died(spark, tree, monkeypatch):
     start_scan(spark, str(tree / "in"), store + "2", 1, every="1 second").stop()
 
 
+def test_stream_reads_equal_contents_once(spark, tmp_path, monkeypatch):
+    import sparklode.streaming.scan as scanning
+
+    real, counts = scanning.extract, []
+    monkeypatch.setattr(scanning, "extract", lambda files: counts.append(files.count()) or real(files))
+    script, broken = f'var token = "{TOKEN}", url = "https://api1.acme.cn/oauth/login"', 'function f() { g(`https://api2.acme.cn/oauth/login'
+    rows = [
+        ("app1", "a.js", "js", script), ("app2", "a.js", "js", script), ("app2", "b.js", "js", script), ("app2", "x-wxss.js", "js", broken), ("app2", "y.js", "js", broken), ("app3", "z/y.js", "js", broken),
+        ("app3", "c.json", "json", script), ("app3", "d.js", "js", None), ("app4", "d.js", "js", None), ("app4", "e.js", "js", " "),
+    ]
+    schema, store = "pkg string, file string, ext string, content string", str(tmp_path / "store")
+    files = spark.createDataFrame(rows, schema)
+    files.coalesce(1).write.parquet(str(tmp_path / "files"))
+    scanning.start_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "files")), store).awaitTermination()
+    found, statuses = scan(files, spark)
+    assert {tuple(r) for r in read_ledger(spark, store).collect()} == {tuple(r) for r in statuses.collect()}
+    assert {(r.hash_sha256, r.type_id, r.ref_count) for r in read_items(spark, store).collect()} == {(r.hash_sha256, r.type_id, r.ref_count) for r in D.items_of(found).collect()}
+    kept = spark.read.parquet(f"{store}/occurrences").drop("batch").collect()
+    assert len(kept) >= 6 and sorted(tuple(r) for r in kept) == sorted(tuple(r) for r in D.occurrences_of(found).collect())
+    assert counts == [6]
+
+
+def test_content_key_tells_style_scripts(spark):
+    from sparklode.sources.extract import content_key, is_style_script
+
+    names = ["app-wxss.js", "p/APP-WXSS.js", "x/y.wxss.js", "a\\app-wxss.js", "x-wxss.js/z.js", "app-wxss.jsx", "b.js", "", None]
+    rows = spark.createDataFrame([(n, "js", "x") for n in names], "file string, ext string, content string").select("file", content_key().alias("key")).collect()
+    assert [r.key.split(":")[1] == "true" for r in rows] == [is_style_script(n or "") for n in names]
+    other = spark.createDataFrame([("b.js", "js", "y"), ("b.js", "json", "x"), ("b.js", "js", None)], "file string, ext string, content string").select(content_key()).collect()
+    assert len({r[0] for r in other} | {r.key for r in rows}) == 5
+
+
 def test_sinks(spark, tree):
     found, _ = scan(scan_tree(spark, str(tree / "in")), spark)
     assert {(r.slug, r.n, r.n_files, r.n_values) for r in dry_run(found).collect()} == {("server_cred_token", 1, 1, 1), ("server_url_auth", 2, 2, 1)}
