@@ -222,15 +222,16 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, num: int = 80, den:
     rows = scratch.table(signatures(docs, shingle), "signatures")
     folds = rows.filter("set1 is not null").groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = scratch.table(rows.select("doc_id", "n_shingles", "set1", "set2").join(folds, ["set1", "set2", "n_shingles"]).select("doc_id", "rep"), "members")
-    reps = rows.join(member.filter("doc_id = rep").select("doc_id"), "doc_id")
-    sigs = scratch.table(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), "sigs")
-    every = sigs.select(F.posexplode("bands").alias("band", "key"), "id")
+    # signatures stay where they are; what is joined and dealt out by bucket is the bands alone
+    reps = rows.select("doc_id", "bands").join(member.filter("doc_id = rep").select("doc_id"), "doc_id")
+    bands = scratch.table(reps.select(F.col("doc_id").alias("id"), "bands"), "bands")
+    every = bands.select(F.explode("bands").alias("key"), "id")
     shared = scratch.table(every.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count("*").alias("n")).filter("hub < other").select("key", "hub", "n"), "shared")
     buckets = scratch.table(every.join(shared, "key"), "buckets")
 
     fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & estimates_allow(F.col("sa"), F.col("sb"), num / den)
-    one = sigs.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    two = sigs.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
+    one = rows.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
+    two = rows.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
 
     def linked(pairs: DataFrame, name: str, estimated: bool = False) -> DataFrame:
         """Confirmed links of the pairs (a, b). estimated: their estimates were looked at already."""
@@ -246,9 +247,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, num: int = 80, den:
     tried = scratch.table(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs0")
     links = linked(tried, "hub0")
     comps = components(links, scratch, "comp0")
-    mixed = buckets.select("band", "key", "id")
+    mixed = buckets.select("key", "id")
     for turn in range(1, HUB_ROUNDS + 2):
-        labelled = mixed.join(comps, "id", "left").select("band", "key", "id", F.coalesce("comp", "id").alias("comp"))
+        labelled = mixed.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         split = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
         mixed = scratch.table(labelled.join(split, "key"), f"mixed{turn}")
         if turn <= HUB_ROUNDS:
@@ -257,12 +258,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, num: int = 80, den:
         else:
             sizes = mixed.groupBy("key", "comp").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-            full = mixed.join(sigs, "id")
-            outside = full.join(main, "key").filter("comp != main").select("key", "band", F.col("id").alias("a"), "comp", F.col("n_shingles").alias("na"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
-            rest = full.select(F.col("key").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"), F.col("bands").alias("bb"))
-            # a pair is made in the first band that it shares, and only if its sizes and estimate allow a link
-            earlier = F.exists(F.zip_with(F.slice("ba", F.lit(1), F.col("band")), F.slice("bb", F.lit(1), F.col("band")), lambda x, y: x == y), lambda same: same)
-            pairs = outside.join(rest, (F.col("key") == F.col("k2")) & (F.col("comp") != F.col("cb")) & ~earlier & fits).select("a", "b")
+            marked = mixed.join(main, "key").select("key", "id", "comp", F.when(F.col("comp") != F.col("main"), F.col("key")).alias("out"))
+            held = marked.groupBy("id").agg(F.min("comp").alias("comp"), F.collect_list("key").alias("keys"), F.collect_list("out").alias("outs"))
+            full = held.join(rows.select(F.col("doc_id").alias("id"), "n_shingles", "sig"), "id")
+            outside = full.select(F.explode("outs").alias("key"), F.col("id").alias("a"), "comp", F.col("n_shingles").alias("na"), F.col("sig").alias("sa"), F.col("keys").alias("ka"))
+            rest = full.select(F.explode("keys").alias("k2"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"), F.col("keys").alias("kb"))
+            # a pair is made in the least bucket that it shares, and only if its sizes and estimate allow a link
+            least = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
+            pairs = outside.join(rest, (F.col("key") == F.col("k2")) & (F.col("comp") != F.col("cb")) & fits & least).select("a", "b")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, f"pairs{turn}")
         if not pairs.isEmpty():
@@ -271,7 +274,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, num: int = 80, den:
             if not more.isEmpty():
                 links = links.unionByName(more)
                 comps = components(links, scratch, f"comp{turn}")
-        mixed = mixed.select("band", "key", "id")
+        mixed = mixed.select("key", "id")
     of_rep = member.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(of_rep, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

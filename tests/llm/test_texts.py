@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from sparklode.llm.common import Scratch
 from sparklode.llm.debruijn import dedup_substrings
 from sparklode.llm.decontaminate import decontaminate
 from sparklode.llm.minhash import near_duplicates
@@ -206,6 +207,23 @@ def test_near_duplicates_in_chains(spark):
     assert got == brute_components(rows, 4)
 
 
+def test_near_duplicates_join_by_what_they_need(spark, monkeypatch):
+    """Buckets are made of bands without signatures, and the last comparison's rows hold signatures without bands."""
+    real, reads = Scratch.table, {}
+
+    def table(self, df, name):
+        reads[name] = re.findall(r"FileScan parquet \[([^\]]*)\]", df._jdf.queryExecution().sparkPlan().toString())
+        return real(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    rows = corpus(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(rows, 4)
+    made = [x for name in ("bands", "shared", "buckets") for x in reads[name]]
+    assert any("bands#" in x for x in made) and not any("sig#" in x for x in made)
+    assert any("sig#" in x for x in reads["pairs2"]) and not any("bands#" in x for x in reads["pairs2"])
+
+
 ITEM_WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
