@@ -19,11 +19,13 @@ OCCURRENCES = "appid string, hash_sha256 string, source_file string, detector_so
 def start_stream(files: DataFrame, store: str, every: str | None = None) -> StreamingQuery:
     """Scans a stream of files (pkg, file, ext, content). Each batch writes its items, occurrences and statuses to folders of its own
     number, the statuses last, so a batch that is run again overwrites itself and a file counts as done only when its findings are
-    there. Files of a batch with equal content are extracted and classified once, and each gets the findings. every: a trigger interval
-    such as "2 seconds"; without one the query ends when all that is there has been read."""
+    there. A batch whose files are all left out writes nothing. Files of a batch with equal content are extracted and classified once, and
+    each gets the findings. every: a trigger interval such as "2 seconds"; without one the query ends when all that is there has been read."""
     spark = files.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
+        if batch.select("pkg").isEmpty():
+            return
         keyed = batch.withColumn("key", content_key())
         where = keyed.select("pkg", "file", "key").persist()
         constants = extract(one_of_each(keyed)).persist()

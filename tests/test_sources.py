@@ -1,6 +1,7 @@
 """Lexers, file trees, the store, the stream."""
 
 import json
+import os
 import shutil
 
 import pytest
@@ -180,6 +181,18 @@ def test_stream_goes_on_after_a_batch_that_died(spark, tree, monkeypatch):
     start_scan(spark, str(tree / "in"), store + "2", 1, every="1 second").stop()
 
 
+def test_stream_batch_without_files_to_scan_writes_nothing(spark, tmp_path):
+    for age, name in enumerate(("app1/main.js", "app1/node_modules/x.js", "app2/mygame.js")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(f'var token = "{TOKEN}"')
+        os.utime(tmp_path / "in" / name, (1_700_000_000 - 100 * age,) * 2)  # the oldest file is the first batch
+    store = str(tmp_path / "store")
+    start_scan(spark, str(tmp_path / "in"), store, 1).awaitTermination()
+    assert [tuple(r) for r in read_ledger(spark, store).collect()] == [("app1", "app1/main.js", "ok")]
+    for table in ("items", "occurrences", "ledger"):
+        assert [p.name for p in (tmp_path / "store" / table).iterdir()] == ["batch=2"]
+
+
 def test_stream_reads_equal_contents_once(spark, tmp_path, monkeypatch):
     import sparklode.streaming.scan as scanning
 
