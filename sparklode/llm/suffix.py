@@ -2,7 +2,8 @@
 
 Texts are parsed at minimizers into segments. A segment whose minimizer occurs nowhere else cannot hold a
 repeat; equal segments fold into one entry of a dictionary with its first place; and entries that share a minimizer but differ are
-sorted together: their suffix array tells which windows of theirs are equal, and the first place wins.
+sorted together: their suffix array tells which windows of theirs are equal, and the first place wins. Every window of an
+entry holds its minimizer, so the minimizer's bytes, and those beside it that all its entries share, are one letter there.
 
 The suffix array itself comes from grouping: suffixes are grouped by Lyndon prefix, groups are processed in
 descending order, where the previous-smaller pointers of a group's suffixes split the lower groups; then one pass in
@@ -16,11 +17,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklode.llm.common import Scratch, chunks, keyed_texts
-from sparklode.llm.superkmer import SHIFT, Alphabet, Cutter, covered, list_offsets, marks_by_doc, repeated_segments, utf8
+from sparklode.llm.superkmer import SHIFT, Alphabet, covered, list_offsets, marks_by_doc, repeated_segments, utf8
 
 #: Bytes of a k-mer by which windows meet.
 MINIMIZER_BYTES = 48
@@ -28,7 +30,7 @@ MINIMIZER_BYTES = 48
 #: Entries of one minimizer that are sorted together; more are dealt over tasks and meet by digest afterwards.
 TOGETHER = 512
 
-#: Dictionary bytes of one suffix array, which holds whole groups; small arrays stay in the processor's caches.
+#: Dictionary bytes of one suffix array, not counting minimizers, which holds whole groups; small arrays stay in the processor's caches.
 ARRAY_BYTES = 1500
 
 
@@ -119,8 +121,40 @@ def suffix_array(text: list[int]) -> list[int]:
     return out[1:]
 
 
-def equal_windows(entries: list[bytes], width: int) -> Iterator[list[tuple[int, int]]]:
-    """Classes of two or more equal windows over the entries, as (entry, start), from their suffix array."""
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes with which both begin."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
+def _letters(entries: list[bytes], places: list[int], k: int, width: int) -> list[tuple[int, int, int]]:
+    """(entry, from, to) of the bytes that one letter stands for: those of the minimizer, of k bytes, with what all entries of the
+    same minimizer have beside it, on the left only where no window starts. Lists of these by minimizer; entries
+    that cannot share a window with any other, because too little beside the minimizer is equal, are not listed.
+    """
+    classes: dict[bytes, list[int]] = {}
+    for e, p in enumerate(places):
+        classes.setdefault(entries[e][p : p + k], []).append(e)
+    out = []
+    for members in classes.values():
+        if len(members) == 1:
+            continue
+        before = sorted([entries[e][places[e] - 1 :: -1] if places[e] else b"" for e in members])
+        after = sorted([entries[e][places[e] + k :] for e in members])
+        if max(map(_common, before, before[1:])) + k + max(map(_common, after, after[1:])) < width:
+            continue
+        left = min(_common(before[0], before[-1]), min(places[e] - len(entries[e]) + width for e in members))
+        right = k + _common(after[0], after[-1])
+        out.append([(e, places[e] - left, places[e] + right) for e in members])
+    return out
+
+
+def equal_windows(entries: list[bytes], width: int, places: list[int] | None = None, k: int = 0) -> Iterator[list[tuple[int, int]]]:
+    """Classes of two or more equal windows over the entries, as (entry, start), from their suffix array.
+
+    places: of each entry's minimizer, which every window of the entry holds, so that equal windows have it at the same place. The bytes
+    of a minimizer are one letter then, in which no window but its first byte's starts.
+    """
     joined = b"\x00".join(entries) + b"\x00"
     sizes = np.array([len(e) for e in entries], np.int64)
     ends = np.cumsum(sizes + 1) - 1
@@ -128,8 +162,19 @@ def equal_windows(entries: list[bytes], width: int) -> Iterator[list[tuple[int,
     signs = np.frombuffer(joined, np.uint8).astype(np.int64) + 2
     signs[ends] = 1  # parts entries; windows never reach over it
     room = np.arange(len(signs)) + width <= np.repeat(ends, sizes + 1)
-    owner, starts, text = np.repeat(np.arange(len(entries)), sizes + 1), begins.tolist(), signs.tolist()
-    order = np.array(suffix_array(text), np.int64)
+    owner, starts = np.repeat(np.arange(len(entries)), sizes + 1), begins.tolist()
+    if places is None:
+        kept = np.arange(len(signs))
+    else:
+        keep = np.zeros(len(signs), bool)
+        for letter, spans in enumerate(_letters(entries, places, k, width), 258):
+            for e, a, b in spans:
+                lo, hi = starts[e], starts[e] + len(entries[e]) + 1
+                keep[lo : lo + a + 1] = True
+                keep[lo + b : hi] = True
+                signs[lo + a] = letter
+        kept = np.flatnonzero(keep)
+    order = kept[np.array(suffix_array(signs[kept].tolist()), np.int64)]
     order = order[room[order]].tolist()
     last, members = None, []
     for i in order:
@@ -144,30 +189,30 @@ def equal_windows(entries: list[bytes], width: int) -> Iterator[list[tuple[int,
         yield [(int(owner[m]), m - starts[owner[m]]) for m in members]
 
 
-def _open_entries(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """mini, seg and seg2 (digest), doc_id, at, entry (bytes) of every open segment."""
+def _open_entries(docs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
+    """mini, seg and seg2 (digest), doc_id, at, place (of the minimizer), entry (bytes) of every open segment."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(alphabet)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
-            row, mark = list_offsets(batch.column(2))
+            ids, texts, lists = batch.column(0), utf8(batch.column(1)), batch.column(2)
+            row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            mark, mini, place = [lists.flatten().field(name) for name in ("mark", "mini", "place")]
+            bound = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+            mark = mark.to_numpy(zero_copy_only=False)
+            start, width = mark >> SHIFT, mark & ((1 << SHIFT) - 1)
             for lo, hi in chunks(texts):
-                mine = (row >= lo) & (row < hi)
-                doc, start, width = row[mine] - lo, mark[mine] >> SHIFT, mark[mine] & ((1 << SHIFT) - 1)
-                if not len(doc):
+                a, b = bound[lo], bound[hi]
+                if a == b:
                     continue
-                s = cutter.symbols(texts[lo:hi])
-                d0, s0, _, mini = cutter.segments(s)
-                first = s.first[doc] + start
-                place = np.searchsorted(s.first[d0] + s0, first)
-                entries = [texts[lo + d][a : a + w - 1 + alphabet.window] for d, a, w in zip(doc.tolist(), start.tolist(), width.tolist(), strict=True)]
-                seg = s.digests(first, first + width - 1 + alphabet.window, 16)
+                spans = zip(row[a:b].tolist(), start[a:b].tolist(), width[a:b].tolist(), strict=True)
+                entries = [texts[d][at : at + w - 1 + window] for d, at, w in spans]
+                seg = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, entries)), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mini[place].view(np.int64)), pa.array(seg[:, 0]), pa.array(seg[:, 1]), pa.array(ids[lo:hi][doc]), pa.array(start), pa.array(entries, pa.binary())], ["mini", "seg", "seg2", "doc_id", "at", "entry"]
+                    [mini[a:b], pa.array(seg[:, 0]), pa.array(seg[:, 1]), ids.take(pa.array(row[a:b])), pa.array(start[a:b]), place[a:b], pa.array(entries, pa.binary())], names
                 )
 
-    return docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(run, "mini long, seg long, seg2 long, doc_id long, at long, entry binary")
+    names = ["mini", "seg", "seg2", "doc_id", "at", "place", "entry"]
+    return docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(run, "mini long, seg long, seg2 long, doc_id long, at long, place short, entry binary")
 
 
 def _runs(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -181,19 +226,19 @@ def _runs(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(d, (a << SHIFT) | n) for d, a, n in out]
 
 
-def _sorted_entries(entries: DataFrame, width: int) -> DataFrame:
+def _sorted_entries(entries: DataFrame, width: int, k: int) -> DataFrame:
     """doc_id, mark of windows that are not the first of their class; and, for dealt minimizers, one, two
     (digests) with doc_id and mark of each window that is first among those it was sorted with."""
 
     def windows_of(group: list[tuple]) -> list[tuple]:
         gone: list[tuple[int, int]] = []
-        for places in equal_windows([r[4] for r in group], width):
+        for places in equal_windows([r[5] for r in group], width, [r[4] for r in group], k):
             where = sorted([(group[e][2], group[e][3] + a) for e, a in places])
             gone += where[1:]
         rows: list[tuple] = [(None, None, d, m) for d, m in _runs(gone)]
         if any(r[1] > 1 for r in group):
             lost = set(gone)
-            for _, parts, doc, at, entry in group:
+            for _, parts, doc, at, _, entry in group:
                 for a in range(len(entry) - width + 1) if parts > 1 else ():
                     if (doc, at + a) not in lost:
                         h = hashlib.blake2b(entry[a : a + width], digest_size=16).digest()
@@ -209,7 +254,7 @@ def _sorted_entries(entries: DataFrame, width: int) -> DataFrame:
         rows: list[tuple] = []
         total = 0
         for batch in batches:
-            for r in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            for r in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 if total > ARRAY_BYTES and group[-1][0] != r[0]:
                     rows += windows_of(group)
                     group, total = [], 0
@@ -217,7 +262,7 @@ def _sorted_entries(entries: DataFrame, width: int) -> DataFrame:
                         yield batch_of(rows)
                         rows = []
                 group.append(r)
-                total += len(r[4])
+                total += len(r[5]) - k
         yield batch_of(rows + (windows_of(group) if group else []))
 
     return entries.mapInArrow(run, "one long, two long, doc_id long, mark long")
@@ -227,7 +272,8 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, width: int = 100) -> DataF
     """doc_id, mark (start << SHIFT | windows): byte windows that also start earlier (smaller doc_id, or same document)."""
     alphabet = Alphabet(False, width, MINIMIZER_BYTES if width > MINIMIZER_BYTES else 1)
     segments = repeated_segments(docs, alphabet, True, scratch)
-    entries = scratch.table(_open_entries(docs, marks_by_doc(segments.filter("open"), "marks"), alphabet), "entries")
+    marks = segments.filter("open").select("doc_id", F.struct("mark", "mini", "place").alias("mark"))
+    entries = scratch.table(_open_entries(docs, marks_by_doc(marks, "marks"), width), "entries")
     place = F.struct("doc_id", "at")
     folded = scratch.table(entries.groupBy("mini", "seg", "seg2").agg(F.min(place).alias("first")), "folded")
     width_of = F.length("entry") - width + 1
@@ -235,11 +281,11 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, width: int = 100) -> DataF
     again = whole.filter(place != F.col("first")).select("doc_id", (F.shiftleft("at", SHIFT) + width_of).alias("mark"))
     words = folded.groupBy("mini").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / TOGETHER).cast("long")
-    words = whole.filter(place == F.col("first")).join(words, "mini").select("mini", parts.alias("parts"), "doc_id", "at", "entry")
+    words = whole.filter(place == F.col("first")).join(words, "mini").select("mini", parts.alias("parts"), "doc_id", "at", "place", "entry")
     part = F.pmod(F.xxhash64("doc_id", "at"), F.col("parts"))
     # the key of a group takes the place of the minimizer, so that a dealt minimizer is sorted part by part
-    dealt = words.select(F.xxhash64("mini", part).alias("mini"), "parts", "doc_id", "at", "entry").repartition("mini").sortWithinPartitions("mini", "doc_id", "at")
-    found = scratch.table(_sorted_entries(dealt, width), "found")
+    dealt = words.select(F.xxhash64("mini", part).alias("mini"), "parts", "doc_id", "at", "place", "entry").repartition("mini").sortWithinPartitions("mini", "doc_id", "at")
+    found = scratch.table(_sorted_entries(dealt, width, alphabet.k), "found")
     cross = found.filter("one is not null")
     first = cross.groupBy("one", "two").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     met = cross.join(first, ["one", "two"]).filter(F.struct("doc_id", "mark") != F.col("first")).select("doc_id", "mark")

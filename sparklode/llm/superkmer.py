@@ -71,12 +71,12 @@ class Cutter:
         return Symbols(texts, self.alphabet.words, self.bytes)
 
     def segments(self, s: Symbols) -> tuple[np.ndarray, ...]:
-        """document (index in the chunk), start in it, windows, minimizer."""
+        """document (index in the chunk), start in it, windows, minimizer, the minimizer's place from the start."""
         a = self.alphabet
         n = len(s.values)
         none = np.zeros(0, np.int64)
         if n < a.window:
-            return none, none, none, none.astype(np.uint64)
+            return none, none, none, none.astype(np.uint64), none
         prefix = self.mini.prefix(s.values)
         kmers = self.mini.windows(prefix, a.k)
         at = first_min(kmers, a.window - a.k + 1)
@@ -93,15 +93,16 @@ class Cutter:
         order = np.cumsum(begins)[inside]
         width = np.bincount(order, minlength=len(starts) + 1)[1:]
         doc = np.searchsorted(s.first, starts, "right") - 1
-        return doc, starts - s.first[doc], width, mix64(kmers[at[starts]])
+        return doc, starts - s.first[doc], width, mix64(kmers[at[starts]]), at[starts] - starts
 
 
 def utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def segment_rows(docs: DataFrame, alphabet: Alphabet, digest: bool) -> DataFrame:
-    """mini, doc_id, mark (start << SHIFT | windows), again (the minimizer comes more than once in the document) and, if asked for, seg (digest of the segment)."""
+def segment_rows(docs: DataFrame, alphabet: Alphabet, digest: bool, places: bool = False) -> DataFrame:
+    """mini, doc_id, mark (start << SHIFT | windows), again (the minimizer comes more than once in the document) and, if asked for, seg (digest of the segment)
+    or place (of the minimizer, from the segment's start)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(alphabet)
@@ -109,7 +110,7 @@ def segment_rows(docs: DataFrame, alphabet: Alphabet, digest: bool) -> DataFrame
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             for lo, hi in chunks(texts):
                 s = cutter.symbols(texts[lo:hi])
-                doc, start, width, mini = cutter.segments(s)
+                doc, start, width, mini, place = cutter.segments(s)
                 if not len(doc):
                     continue
                 order = np.lexsort((mini, doc))
@@ -122,14 +123,16 @@ def segment_rows(docs: DataFrame, alphabet: Alphabet, digest: bool) -> DataFrame
                 if digest:
                     first = s.first[doc] + start
                     cols.append(pa.array(s.digests(first, first + width - 1 + alphabet.window, 8)[:, 0]))
+                if places:
+                    cols.append(pa.array(place, pa.int16()))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["mini", "doc_id", "mark", "again", "seg"][: 4 + digest]
-    return docs.select("doc_id", "text").mapInArrow(run, "mini long, doc_id long, mark long, again boolean" + (", seg long" if digest else ""))
+    names = ["mini", "doc_id", "mark", "again"] + ["seg"] * digest + ["place"] * places
+    return docs.select("doc_id", "text").mapInArrow(run, "mini long, doc_id long, mark long, again boolean" + (", seg long" if digest else "") + (", place short" if places else ""))
 
 
 def repeated_segments(docs: DataFrame, alphabet: Alphabet, within: bool, scratch: Scratch) -> DataFrame:
-    """doc_id, mark, mini, copies, open: segments of which some window may occur earlier.
+    """doc_id, mark, mini, copies, open and, if within, place: segments of which some window may occur earlier.
 
     Segments with equal minimizers meet by a partial aggregate and a join, which both stand a hot
     minimizer. Where all of them are equal the path does not branch: every one but the first is a repeat as
@@ -140,10 +143,10 @@ def repeated_segments(docs: DataFrame, alphabet: Alphabet, within: bool, scratch
     groups = groups.filter("copies > 1" if within else "d0 < d1").select("mini", "d0", F.col("s0").eqNullSafe(F.col("s1")).alias("same"), "copies")
     # a table of its own, so that the join below deals both sides itself and can split a hot minimizer
     groups = scratch.table(groups, "minimizers")
-    met = segment_rows(docs, alphabet, False).join(groups, "mini")
+    met = segment_rows(docs, alphabet, False, within).join(groups, "mini")
     opened = ~F.col("same") | (F.col("doc_id") == F.col("d0"))
     wanted = ~F.col("same") | (F.col("doc_id") > F.col("d0")) | (F.lit(within) & F.col("again"))
-    return scratch.table(met.filter(wanted).select("doc_id", "mark", "mini", "copies", opened.alias("open")), "segments")
+    return scratch.table(met.filter(wanted).select("doc_id", "mark", "mini", "copies", opened.alias("open"), *["place"] * within), "segments")
 
 
 def marks_by_doc(segments: DataFrame, name: str) -> DataFrame:

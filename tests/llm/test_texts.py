@@ -12,7 +12,9 @@ from sparklode.llm.debruijn import dedup_substrings
 from sparklode.llm.decontaminate import decontaminate
 from sparklode.llm.minhash import near_duplicates
 from sparklode.llm.packing import best_fit, pack_documents
+from sparklode.llm import suffix
 from sparklode.llm.suffix import dedup_bytes, equal_windows, suffix_array
+from sparklode.llm.superkmer import Alphabet, Cutter
 from sparklode.llm.toxicity import LetterModel, Restorer, lattice_of, score_toxicity, symbols_of
 
 import numpy as np
@@ -143,6 +145,31 @@ def test_equal_windows():
     assert classes == {frozenset([(0, 0), (0, 5), (1, 1)]), frozenset([(0, 1), (1, 2)])}
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_a_minimizer_is_one_letter(seed, monkeypatch):
+    """Its bytes, and what all entries have beside it, are one letter of the suffix array; the classes are those of all windows."""
+    rng = random.Random(seed)
+    signs = rng.choice(["a", "ab", "abcdefgh"])
+    passages = ["".join(rng.choices(signs, k=rng.randint(40, 260))) for _ in range(4)]
+    texts = [(rng.choice(passages) + "".join(rng.choices(signs, k=rng.randint(0, 30))) + rng.choice(passages)).encode() for _ in range(12)]
+    cutter = Cutter(Alphabet(False, 100, 48))
+    groups = {}
+    for doc, start, n, mini, place in zip(*[c.tolist() for c in cutter.segments(cutter.symbols(texts))], strict=True):
+        groups.setdefault(mini, []).append((texts[doc][start : start + n + 99], place))
+    arrays, sort = [], suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda text: arrays.append(text) or sort(text))
+    for group in [*groups.values(), [row for group in groups.values() for row in group][:40]]:
+        entries = [e for e, _ in group]
+        windows = {}
+        for e, entry in enumerate(entries):
+            for at in range(len(entry) - 99):
+                windows.setdefault(entry[at : at + 100], []).append((e, at))
+        want = sorted(places for places in windows.values() if len(places) > 1)
+        assert sorted(sorted(c) for c in equal_windows(entries, 100, [p for _, p in group], 48)) == want
+        assert len(arrays[-1]) <= sum(map(len, entries)) - 47 * len(entries) + len(entries)
+        assert want or not arrays[-1] or len(entries) > 2
+
+
 def test_large_classes_are_dealt(spark, monkeypatch):
     """A minimizer with more entries than are sorted together gives the same result."""
     import sparklode.llm.suffix as suffix
